@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haltscope.functions.clean import close_status, duration_minutes, normalize_market, valid_end
-from haltscope.operators.scaling import DEFAULT_CHUNK, best_row, running_max, time_chunk
+from haltscope.operators.scaling import DEFAULT_CHUNK, best_row, chunk_unit_for, running_max, time_chunk
 
 OBSERVATION_KEY = ["symbol", "halt_start", "resumption_date", "resumption_trade_time", "reason_code"]
 EPISODE_KEY = ["symbol", "market", "halt_start"]
@@ -54,13 +54,15 @@ def _label(starts: DataFrame, chunk_unit: str) -> DataFrame:
     lowest, so those rows point at the key's very first start.
     """
     keys, chunk, order = ["symbol", "_mkt"], "_chunk", ["halt_start"]
-    df = starts.withColumn(chunk, time_chunk("halt_start", chunk_unit))
-    df = running_max(df, keys, chunk, order, F.col("_end"), "_m", inclusive=False)
+    unit = chunk_unit_for(starts, chunk_unit)
+    chunked = unit != "none"
+    df = starts.withColumn(chunk, time_chunk("halt_start", unit))
+    df = running_max(df, keys, chunk, order, F.col("_end"), "_m", inclusive=False, chunked=chunked)
     opens = F.col("_m").isNull() | (F.col("halt_start") > F.col("_m"))
     # Negated distance keeps "smallest start" inside a maximum.
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     opener = F.when(opens, F.struct(F.col("_m").alias("m"), (origin - F.col("halt_start")).alias("neg")))
-    df = running_max(df, keys, chunk, order, opener, "_opener", inclusive=True)
+    df = running_max(df, keys, chunk, order, opener, "_opener", inclusive=True, chunked=chunked)
     return df.withColumn("episode_start", origin - F.col("_opener.neg")).drop("_chunk", "_m", "_opener")
 
 

@@ -99,6 +99,17 @@ def ticker_halt_daily(episodes: DataFrame, market_close_minute: int = 16 * 60) -
     )
 
 
+def exact_average(value: str) -> Column:
+    """Mean of a three-decimal column, rounded to three decimals.
+
+    Summed as whole thousandths: the result does not depend on the order in
+    which partitions are added up.
+    """
+    total = F.sum(F.round(F.col(value) * 1000).cast("bigint"))
+    n = F.count(value)
+    return F.floor((2 * total + n) / (2 * n).cast("decimal(20,0)")).cast("double") / 1000
+
+
 def exact_medians(episodes: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median per key.
 
@@ -132,7 +143,7 @@ def ticker_halt_metrics(episodes: DataFrame, daily: DataFrame, market_days: Data
     """
     per_symbol = episodes.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("total_halt_episodes"),
-        F.round(F.avg("duration_minutes"), 3).alias("avg_duration_minutes"),
+        exact_average("duration_minutes").alias("avg_duration_minutes"),
         F.min("duration_minutes").alias("min_duration_minutes"),
         F.max("duration_minutes").alias("max_duration_minutes"),
         F.min(F.to_date("halt_start")).alias("first_halt_date"),
@@ -176,7 +187,7 @@ def ticker_reason_metrics(episodes: DataFrame) -> DataFrame:
     """Per (symbol, reason), a missing reason being a group of its own."""
     return episodes.groupBy("symbol", "reason_code").agg(
         F.count(F.lit(1)).alias("halt_episodes"),
-        F.round(F.avg("duration_minutes"), 3).alias("avg_duration_minutes"),
+        exact_average("duration_minutes").alias("avg_duration_minutes"),
         F.min("duration_minutes").alias("min_duration_minutes"),
         F.max("duration_minutes").alias("max_duration_minutes"),
     )

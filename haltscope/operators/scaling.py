@@ -4,20 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A chunk of one key is a day by default, so a key's carry table has at most
-# one row per day of history.
-DEFAULT_CHUNK = "day"
+# How a key's history is cut: "day" or "hour" chunks, "none" for one window per
+# key, "auto" for "none" only when the whole input is provably small.
+DEFAULT_CHUNK = "auto"
 
+# No key can hold more than the whole input, so below this size one task per
+# key is safe and the plan without chunks is shorter.
+ONE_TASK_BYTES = 256 * 1024 * 1024
 
-def time_chunk(ts: Column | str, unit: str = DEFAULT_CHUNK) -> Column:
-    """Chunk number of a timestamp: its day, or its hour for very hot keys."""
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate (from file sizes; no job runs), None if unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate means "assume large"
+        return None
+
+
+def chunk_unit_for(df: DataFrame, unit: str = DEFAULT_CHUNK) -> str:
+    if unit != "auto":
+        return unit
+    size = estimated_bytes(df)
+    return "none" if size is not None and size <= ONE_TASK_BYTES else "day"
+
+
+def time_chunk(ts: Column | str, unit: str) -> Column:
+    """Chunk number of a timestamp: its day, its hour for very hot keys, or one for all."""
     ts = F.col(ts) if isinstance(ts, str) else ts
     day = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
     if unit == "day":
         return day
     if unit == "hour":
         return day * 24 + F.hour(ts)
-    raise ValueError("chunk unit is 'day' or 'hour'")
+    if unit == "none":
+        return F.lit(0)
+    raise ValueError("chunk unit is 'day', 'hour' or 'none'")
 
 
 def running_max(
@@ -28,6 +49,7 @@ def running_max(
     value: Column,
     out: str,
     inclusive: bool,
+    chunked: bool = True,
 ) -> DataFrame:
     """``max(value)`` over the earlier rows of each key, without a window per key.
 
@@ -40,6 +62,8 @@ def running_max(
     upto = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = df.withColumn("_value", value).withColumn("_local", F.max("_value").over(inside))
+    if not chunked:
+        return local.withColumnRenamed("_local", out).drop("_value")
 
     totals = local.groupBy(*part).agg(F.max("_value").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,27 +76,6 @@ def running_max(
     )
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], chunk: str, order: list[str], values: dict[str, Column]
-) -> DataFrame:
-    """Inclusive running sums per key, chunked like :func:`running_max`."""
-    part = [*keys, chunk]
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for name, value in values.items():
-        df = df.withColumn(f"_v_{name}", value)
-    totals = df.groupBy(*part).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*part, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in values])
-    for name in values:
-        df = df.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(inside))
-    out = df.join(carry, part)
-    for name in values:
-        out = out.withColumn(
-            name, F.coalesce(F.col(f"_l_{name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
-        )
-    return out.drop(*[f"_{p}_{n}" for n in values for p in "vlc"])
-
-
 def spread_join(
     left: DataFrame,
     right: DataFrame,

@@ -1,4 +1,4 @@
 """Everything registered, in one place."""
 
-from haltscope.plans import halts  # noqa: F401
+from haltscope.plans import bars, filings, halts, streams  # noqa: F401
 from haltscope.plans.registry import runnable, statements  # noqa: F401

@@ -624,7 +624,7 @@ SELECT e.symbol, e.n AS total_halt_episodes, coalesce(d.days, 0) AS halt_days, c
        round(e.n / (SELECT count(*) FROM file_days), 4) AS halts_per_market_day,
        e.avg_d AS avg_duration_minutes, e.med AS median_duration_minutes, e.min_d AS min_duration_minutes,
        e.max_d AS max_duration_minutes, e.f AS first_halt_date, e.l AS last_halt_date
-FROM (SELECT symbol, count(*) AS n, round(avg(duration_minutes), 3) AS avg_d, round(median(duration_minutes), 3) AS med,
+FROM (SELECT symbol, count(*) AS n, floor((2 * sum(CAST(round(duration_minutes * 1000) AS BIGINT)) + count(duration_minutes)) / (2 * count(duration_minutes))) / 1000 AS avg_d, round(median(duration_minutes), 3) AS med,
              min(duration_minutes) AS min_d, max(duration_minutes) AS max_d, min(CAST(halt_start AS DATE)) AS f,
              max(CAST(halt_start AS DATE)) AS l FROM episodes GROUP BY 1) e
 LEFT JOIN (SELECT symbol, count(*) AS days, count(*) FILTER (WHERE halt_at_close = 'YES') AS closes FROM daily GROUP BY 1) d
@@ -637,7 +637,7 @@ def _(i: Inputs) -> DataFrame:
 
 
 _REASON_METRICS = """
-SELECT symbol, reason_code, count(*) AS halt_episodes, round(avg(duration_minutes), 3) AS avg_duration_minutes,
+SELECT symbol, reason_code, count(*) AS halt_episodes, floor((2 * sum(CAST(round(duration_minutes * 1000) AS BIGINT)) + count(duration_minutes)) / (2 * count(duration_minutes))) / 1000 AS avg_duration_minutes,
        min(duration_minutes) AS min_duration_minutes, max(duration_minutes) AS max_duration_minutes FROM episodes GROUP BY 1, 2"""
 
 

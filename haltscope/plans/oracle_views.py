@@ -101,8 +101,21 @@ JOIN episodes e ON e.symbol = l.symbol AND e.market = l.nm AND e.episode_id = l.
 
 VIEWS["links"] = "SELECT DISTINCT episode_id, obs_id AS trade_halt_id FROM membership"
 
-for _name, _where in (("stored", "hour(halt_start) < 16 AND copy_no = 0"), ("incoming", "hour(halt_start) >= 8"),
-                      ("all", "true")):
+# What the feed can say of the second poll: the end only through its times, the
+# last copy by name and end.
+VIEWS["second_poll"] = """
+SELECT * EXCLUDE (halt_end, e, rn), e AS halt_end FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, halt_start, resumption_date, resumption_trade_time, reason_code
+                               ORDER BY issue_name DESC NULLS LAST, e DESC NULLS LAST) AS rn
+  FROM (SELECT *, CASE WHEN coalesce(resumption_trade_time, resumption_quote_time) IS NOT NULL THEN halt_end END AS e
+        FROM halt_obs WHERE hour(halt_start) >= 8)) WHERE rn = 1
+"""
+for _name, _where, _from in (
+    ("stored", "hour(halt_start) < 16 AND copy_no = 0", "halt_obs"),
+    ("incoming", "hour(halt_start) >= 8", "halt_obs"),
+    ("incoming_dedup", "true", "second_poll"),
+    ("all", "true", "halt_obs"),
+):
     VIEWS[f"{_name}_canonical"] = f"""
 SELECT symbol, market, halt_start, reason_code,
        last(issue_name ORDER BY obs_id) FILTER (WHERE issue_name IS NOT NULL) AS issue_name,
@@ -123,7 +136,7 @@ FROM (SELECT *, CASE WHEN halt_end >= halt_start THEN 2
                      WHEN halt_end IS NULL AND coalesce(CAST(resumption_date AS VARCHAR), resumption_quote_time,
                                                         resumption_trade_time) IS NOT NULL THEN 1
                      ELSE 0 END AS rk
-      FROM halt_obs WHERE {_where})
+      FROM {_from} WHERE {_where})
 GROUP BY symbol, market, halt_start, reason_code
 """
 
