@@ -89,7 +89,8 @@ def request_halt_days(requests: DataFrame, episodes: DataFrame, calendar: DataFr
         & reason_matches(F.col("reason_code"), F.col("reason_codes"))
     )
     seen = F.when(F.col("trading_date") == F.col("_s0"), F.col("episode_count")).otherwise(F.col("first_seen_count"))
-    return hits.groupBy("request_id", "trading_date", "session_seq").agg(
+    # The observation date rides along as a grouping column: one value per request.
+    return hits.groupBy("request_id", "observation_date", "trading_date", "session_seq").agg(
         F.sum("episode_count").alias("episode_count"),
         F.bool_or("halted_at_close").alias("halted_at_close"),
         F.sum(seen).alias("window_episodes"),
@@ -134,9 +135,7 @@ def halt_metrics(requests: DataFrame, episodes: DataFrame, calendar: DataFrame)
     One pass: halt days per request, their consecutive-session runs, then one
     grouped aggregation. Both groupings share the request's partitioning.
     """
-    days = request_halt_days(requests, episodes, calendar).join(
-        requests.select("request_id", F.col("observation_date").alias("_t")), "request_id"
-    )
+    days = request_halt_days(requests, episodes, calendar).withColumnRenamed("observation_date", "_t")
     order = Window.partitionBy("request_id").orderBy("session_seq")
     runs = days.withColumn("_island", F.col("session_seq") - F.row_number().over(order)).groupBy(
         "request_id", "_t", "_island"

@@ -28,6 +28,18 @@ def chunk_unit_for(df: DataFrame, unit: str = DEFAULT_CHUNK) -> str:
     return "none" if size is not None and size <= ONE_TASK_BYTES else "day"
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small input one partition per core before work that is heavy per row.
+
+    A table in one small file is read by one task. Beyond ``ONE_TASK_BYTES`` the
+    scan has partitions enough and nothing is added.
+    """
+    size = estimated_bytes(df)
+    if size is None or size > ONE_TASK_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def time_chunk(ts: Column | str, unit: str) -> Column:
     """Chunk number of a timestamp: its day, its hour for very hot keys, or one for all."""
     ts = F.col(ts) if isinstance(ts, str) else ts

@@ -15,6 +15,7 @@ from haltscope.functions.calendar import trading_calendar
 from haltscope.functions.text import filing_url
 from haltscope.operators.canonical import canonical_halts
 from haltscope.operators.episodes import dedup_observations, episode_links, halt_episodes
+from haltscope.operators.scaling import spread_small
 
 CALENDAR_FROM, CALENDAR_TO = date(2020, 1, 1), date(2030, 12, 31)
 
@@ -51,6 +52,14 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return spread_small(self.table("events"))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return spread_small(self.table("orders"))
+
     @cached_property
     def calendar(self) -> DataFrame:
         return trading_calendar(self.spark, CALENDAR_FROM, CALENDAR_TO)
@@ -83,7 +92,7 @@ class Inputs:
         end = F.when((c == 0) | ((c == 1) & (e % 10 == 9)), base_end).when(c == 2, late_end)
         clock = F.date_format("halt_end", "HH:mm:ss.SSSSSS")
         return (
-            self.table("events")
+            self.events
             .select("event_id", "ts", "user_id", "event_type", "value", F.explode(copies).alias("copy_no"))
             .withColumn("halt_end", end)
             .select(
@@ -237,7 +246,7 @@ class Inputs:
         k = F.col("o_orderkey")
         cik = F.lpad(text("o_custkey"), 10, "0")
         accession = s(cik, "-24-", F.lpad(text(k), 9, "0"))
-        return self.table("orders").select(
+        return self.orders.select(
             cik.alias("cik"),
             accession.alias("accession_number"),
             F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"),

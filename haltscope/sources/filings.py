@@ -29,6 +29,9 @@ ROW_CIK = r"CIK=(\d{10})"
 ROW_NAME = r'(?s)<td scope="row">(.+?)<br'
 
 
+_SEP = "\x01"
+
+
 @F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(_html.unescape, na_action="ignore")
@@ -66,17 +69,21 @@ def filing_documents(pages: DataFrame, html_col: str = "html") -> DataFrame:
         F.size("_c") >= 5
     )
 
+    # The five cells and the link travel as one text, so each row meets Python once.
+    link = F.regexp_extract(F.get("_c", F.lit(2)), CELL_LINK, 1)
+    packed = F.concat_ws(_SEP, *[F.get("_c", F.lit(i)) for i in range(5)])
+    bare = F.regexp_replace(packed, r"(?s)<!--.*?-->|<[^>]*>", "")
+    row = cells.select(*keep, F.split(_unescape(F.concat_ws(_SEP, bare, link)), _SEP, -1).alias("_f"))
+
     def text(i: int) -> Column:
-        bare = F.regexp_replace(F.get("_c", F.lit(i)), r"(?s)<!--.*?-->|<[^>]*>", "")
-        return F.regexp_replace(_unescape(bare), r"(?U)^\s+|\s+$", "")
+        return F.regexp_replace(F.get("_f", F.lit(i)), r"(?U)^\s+|\s+$", "")
 
-    link = _unescape(F.nullif(F.regexp_extract(F.get("_c", F.lit(2)), CELL_LINK, 1), F.lit("")))
-    shaped = cells.select(
+    shaped = row.select(
         *keep,
         text(0).alias("_seq"),
         text(1).alias("description"),
         text(2).alias("filename"),
-        unwrap_viewer_url(link).alias("url"),
+        unwrap_viewer_url(F.nullif(F.get("_f", F.lit(5)), F.lit(""))).alias("url"),
         text(3).alias("exhibit_type"),
         text(4).alias("size"),
     )
