@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haltscope.functions.clean import close_status, duration_minutes, normalize_market, valid_end
 from haltscope.operators.scaling import DEFAULT_CHUNK, best_row, chunk_unit_for, running_max, time_chunk
+from haltscope.session import work_dir
 
 OBSERVATION_KEY = ["symbol", "halt_start", "resumption_date", "resumption_trade_time", "reason_code"]
 EPISODE_KEY = ["symbol", "market", "halt_start"]
@@ -183,21 +184,38 @@ def episode_stats(episodes: DataFrame) -> DataFrame:
     )
 
 
+def in_event_order(obs: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Observations by key, start and (valid end or start): a range-partitioned sort."""
+    sort_end = F.coalesce(valid_end("halt_start", "halt_end"), F.col("halt_start"))
+    return obs.withColumn("sort_end", sort_end).orderBy("symbol", "market", "halt_start", "sort_end", *order_cols)
+
+
 def with_episode_ids(episodes: DataFrame) -> DataFrame:
     """Add ``episode_id`` = H + eight digits, numbered in (start, symbol, market) order.
 
-    Rows are numbered inside their hour; each hour then adds the number of
-    episodes in all earlier hours, from a table with one row per hour.
+    The sorted table is written once to the shared folder with each row's
+    partition and place in it, so both stay fixed whatever is recomputed later.
+    A row's number is then its place plus the sizes of the earlier partitions;
+    only those sizes (one row per partition) are brought together.
     """
-    hourly = episodes.withColumn("_hour", time_chunk("halt_start", "hour"))
-    before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    spark = episodes.sparkSession
+    folder = work_dir(spark, "episode-ids")
+    (
+        episodes.withColumn("_m", F.coalesce("market", F.lit(_NO_MARKET)))
+        .orderBy("halt_start", "symbol", "_m")
+        .drop("_m")
+        # (partition << 33) + place in the partition
+        .withColumn("_id", F.monotonically_increasing_id())
+        .write.parquet(folder)
+    )
+    placed = spark.read.parquet(folder).withColumn("_part", F.shiftrightunsigned("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        hourly.groupBy("_hour")
+        placed.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_hour", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy("_hour").orderBy("halt_start", "symbol", F.col("market").asc_nulls_first())
-    numbered = hourly.withColumn("_place", F.row_number().over(inside)).join(offsets, "_hour")
-    return numbered.select(
-        F.format_string("H%08d", F.col("_offset") + F.col("_place")).alias("episode_id"), *episodes.columns
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(offsets), "_part").select(
+        F.format_string("H%08d", F.col("_offset") + place).alias("episode_id"), *episodes.columns
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from haltscope.functions import terms as P
 from haltscope.functions.clean import literal_lookup
 from haltscope.functions.text import filing_url
+from haltscope.operators.scaling import spread_join
 
 # Item numbers, exhibit prefixes and fact names that select filings.
 WARRANT_ITEMS = ("1.01", "3.02")
@@ -313,7 +314,8 @@ def warrant_diagnostics(
     )
     parts = [fact_rows(facts, "warrant"), fact_rows(shares, "shares_outstanding"), exhibit_part, term_part]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return resolved.join(union, "cik").select(*DIAGNOSTIC_COLUMNS)
+    # One issuer may own a large share of the rows; its ticker row is what repeats.
+    return spread_join(union, resolved, ["cik"], ["accession_number", "concept"]).select(*DIAGNOSTIC_COLUMNS)
 
 
 def collection_status(

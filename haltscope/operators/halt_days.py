@@ -110,31 +110,41 @@ def exact_average(value: str) -> Column:
     return F.floor((2 * total + n) / (2 * n).cast("decimal(20,0)")).cast("double") / 1000
 
 
-def exact_medians(episodes: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per key.
+def exact_medians(episodes: DataFrame, keys: list[str], value: str, width: float = 60.0) -> DataFrame:
+    """Exact median per key, in two steps, so no task orders a whole key.
 
-    Equal values are counted first (combined map-side), so the ordered pass
-    handles distinct values, not rows; durations have three decimals.
+    Equal values are counted first (combined map-side). Bands of ``width`` then
+    tell which band holds the middle; only that band's values are ordered.
     """
-    counts = episodes.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.select(
-        *keys,
-        value,
-        F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-        "_n",
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
+    counts = (
+        episodes.filter(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_band", F.floor(F.col(value) / F.lit(width)))
     )
 
-    def covers(position: Column) -> Column:
-        return (F.col("_upto") >= position) & (F.col("_upto") - F.col("_n") < position)
-
-    low = F.floor((F.col("_all") + 1) / 2)
-    high = F.floor((F.col("_all") + 2) / 2)
-    return ranked.groupBy(*keys).agg(
-        ((F.max(F.when(covers(low), F.col(value))) + F.max(F.when(covers(high), F.col(value)))) / 2).alias("median")
+    def covers(position: str, upto: Column, n: Column) -> Column:
+        return (upto >= F.col(position)) & (upto - n < F.col(position))
+
+    bands = counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_bn"))
+    by_band = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
+    middle = (
+        bands.withColumn("_bupto", F.sum("_bn").over(by_band))
+        .withColumn("_all", F.sum("_bn").over(Window.partitionBy(*keys)))
+        .withColumn("_low", F.floor((F.col("_all") + 1) / 2))
+        .withColumn("_high", F.floor((F.col("_all") + 2) / 2))
+        .filter(covers("_low", F.col("_bupto"), F.col("_bn")) | covers("_high", F.col("_bupto"), F.col("_bn")))
+    )
+    inside = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(middle, [*keys, "_band"]).withColumn(
+        "_upto", F.col("_bupto") - F.col("_bn") + F.sum("_n").over(inside)
     )
 
+    def at(position: str) -> Column:
+        return F.max(F.when(covers(position, F.col("_upto"), F.col("_n")), F.col(value)))
+
+    return ranked.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias("median"))
+
 
 def ticker_halt_metrics(episodes: DataFrame, daily: DataFrame, market_days: DataFrame) -> DataFrame:
     """Per symbol: counts, ratios (0 when there is no halt day) and duration statistics.

@@ -97,13 +97,17 @@ def resolve_issuers(
         .join(ticker_map.select(F.col("ticker").alias("_t"), F.col("cik").alias("_mapped")), "_t", "left")
         .join(names.select(F.upper("ticker").alias("_t"), F.col("issue_name").alias("issuer_name_used")), "_t", "left")
     )
-    open_names = base.filter(F.col("_mapped").isNull() & (F.col("issuer_name_used") != "")).select(
-        F.col("issuer_name_used").alias("issuer_name")
+    # Tickers that need no name search get a key of their own, so that they do
+    # not pile up on one missing name.
+    needs_name = F.col("_mapped").isNull() & (F.col("issuer_name_used") != "")
+    base = base.withColumn(
+        "_key", F.when(needs_name, F.col("issuer_name_used")).otherwise(F.concat(F.lit("\x00"), "_t"))
     )
+    open_names = base.filter(needs_name).select(F.col("issuer_name_used").alias("issuer_name"))
     found = unique_name_matches(open_names, companies).select(
-        F.col("issuer_name").alias("issuer_name_used"), F.col("cik").alias("_by_name")
+        F.col("issuer_name").alias("_key"), F.col("cik").alias("_by_name")
     )
-    joined = base.join(found, "issuer_name_used", "left")
+    joined = base.join(found, "_key", "left")
     by_map, by_name = F.col("_mapped").isNotNull(), F.col("_by_name").isNotNull()
     return joined.select(
         "ticker",

@@ -108,17 +108,10 @@ def _(i: Inputs) -> DataFrame:
 
 
 @query("event_order", """
-SELECT obs_id, row_number() OVER (PARTITION BY symbol, halt_start ORDER BY
-       CASE WHEN halt_end >= halt_start THEN halt_end ELSE halt_start END, obs_id) AS place_in_start
-FROM halt_obs""")
+SELECT obs_id, symbol, market, halt_start, CASE WHEN halt_end >= halt_start THEN halt_end ELSE halt_start END AS sort_end
+FROM halt_obs ORDER BY symbol, market, halt_start, sort_end, obs_id""")
 def _(i: Inputs) -> DataFrame:
-    from pyspark.sql import Window
-
-    # Only observations sharing a start compete; the start itself orders the rest.
-    order = Window.partitionBy("symbol", "halt_start").orderBy(
-        F.coalesce(C.valid_end("halt_start", "halt_end"), F.col("halt_start")), "obs_id"
-    )
-    return i.halt_obs.select("obs_id", F.row_number().over(order).cast("bigint").alias("place_in_start"))
+    return E.in_event_order(i.halt_obs, ["obs_id"]).select("obs_id", "symbol", "market", "halt_start", "sort_end")
 
 
 # -- canonical rows ---------------------------------------------------------------

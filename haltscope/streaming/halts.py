@@ -149,14 +149,23 @@ OPEN_STATE = "halt_start timestamp, halt_end timestamp, reason_codes array<strin
 
 
 def _advance(key: tuple, frames, state: GroupState):
-    """Fold one key's new rows, by start, into its current episode."""
-    rows = pd.concat(list(frames), ignore_index=True)
-    rows = rows.groupby("halt_start", sort=True).agg(
-        end=("halt_end", "max"), reasons=("reason_code", lambda r: sorted(set(r.dropna())))
-    )
+    """Fold one key's new rows, by start, into its current episode.
+
+    Rows are reduced to (latest end, reasons) per start as they arrive, so what
+    is held is one entry per distinct start of the micro-batch.
+    """
+    by_start: dict = {}
+    for frame in frames:
+        for start, end, reason in frame[["halt_start", "halt_end", "reason_code"]].itertuples(index=False, name=None):
+            seen_end, reasons = by_start.setdefault(start, [None, set()])
+            if pd.notna(end) and (seen_end is None or end > seen_end):
+                by_start[start][0] = end
+            if pd.notna(reason):
+                reasons.add(reason)
+    rows = [(start, end, sorted(reasons)) for start, (end, reasons) in sorted(by_start.items())]
     current = list(state.get) if state.exists else None
     out = []
-    for start, end, reasons in rows.itertuples(name=None):
+    for start, end, reasons in rows:
         if current is not None and (pd.isna(current[1]) or start <= current[1]):
             current[0] = min(current[0], start)
             if pd.notna(end) and (pd.isna(current[1]) or end > current[1]):
@@ -184,7 +193,9 @@ def stream_open_halts(events: DataFrame) -> DataFrame:
     """Current and just-finished episodes per (symbol, venue), emitted whenever they change.
 
     The state of a key is one episode. Rows are folded in start order within a
-    micro-batch; upsert the output on (symbol, market, halt_start).
+    micro-batch; upsert the output on (symbol, market, halt_start). A key's rows
+    of one micro-batch meet in one task, so size the trigger accordingly, or use
+    :func:`live_halt_ingest`, which has no such limit.
     """
     keyed = events.filter(F.col("halt_start").isNotNull()).select(
         "symbol",
