@@ -206,3 +206,15 @@ def ticker_reason_metrics(episodes: DataFrame) -> DataFrame:
 def reason_order() -> list[Column]:
     """Sort order of the reason report: missing reasons last within a symbol."""
     return [F.col("symbol").asc(), F.col("reason_code").asc_nulls_last()]
+
+
+def report_levels(events: DataFrame, episodes: DataFrame, market_days: DataFrame) -> dict[str, DataFrame]:
+    """The five report tables, by name; ``sources.tables.export_levels`` writes them."""
+    daily = ticker_halt_daily(episodes)
+    return {
+        "events": events,
+        "episodes": episodes,
+        "daily": daily,
+        "ticker_metrics": ticker_halt_metrics(episodes, daily, market_days),
+        "reason_metrics": ticker_reason_metrics(episodes),
+    }

@@ -16,6 +16,7 @@ from haltscope.functions.text import filing_url
 from haltscope.operators.canonical import canonical_halts
 from haltscope.operators.episodes import dedup_observations, episode_links, halt_episodes
 from haltscope.operators.scaling import spread_small
+from haltscope.session import work_dir
 
 CALENDAR_FROM, CALENDAR_TO = date(2020, 1, 1), date(2030, 12, 31)
 
@@ -48,6 +49,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._saved: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -60,6 +62,15 @@ class Inputs:
     def orders(self) -> DataFrame:
         return spread_small(self.table("orders"))
 
+    def saved(self, name: str) -> DataFrame:
+        """A derived table written to the shared folder, for plans that read it several times."""
+        if name not in self._saved:
+            rows = getattr(self, name)
+            folder = work_dir(self.spark, name)
+            rows.write.parquet(folder)
+            self._saved[name] = self.spark.read.schema(rows.schema).parquet(folder)
+        return self._saved[name]
+
     @cached_property
     def calendar(self) -> DataFrame:
         return trading_calendar(self.spark, CALENDAR_FROM, CALENDAR_TO)
@@ -169,10 +180,10 @@ class Inputs:
     @cached_property
     def core_episodes(self) -> DataFrame:
         """Episodes as stored, with an id: the lowest raw id they were made from."""
-        ids = self.links_by_key.groupBy("symbol", "market", "halt_start").agg(
+        ids = self.saved("links_by_key").groupBy("symbol", "market", "halt_start").agg(
             F.min("trade_halt_id").alias("episode_id")
         )
-        return self.episodes.join(ids, ["symbol", "market", "halt_start"]).withColumn(
+        return self.saved("episodes").join(ids, ["symbol", "market", "halt_start"]).withColumn(
             "trade_halt_id", F.col("episode_id")
         )
 
@@ -183,7 +194,7 @@ class Inputs:
     @cached_property
     def links(self) -> DataFrame:
         keyed = self.core_episodes.select("symbol", "market", "halt_start", "episode_id")
-        return self.links_by_key.join(keyed, ["symbol", "market", "halt_start"]).select("episode_id", "trade_halt_id")
+        return self.saved("links_by_key").join(keyed, ["symbol", "market", "halt_start"]).select("episode_id", "trade_halt_id")
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -356,10 +367,10 @@ class Inputs:
 
     @cached_property
     def ticker_map(self) -> DataFrame:
-        """Tickers whose issuer is listed directly."""
+        """Listed tickers; two issuers in three are listed under another symbol."""
         k = F.col("c_custkey")
-        return self.table("customer").filter(k % 3 == 0).select(
-            s("T", text(k)).alias("ticker"), F.lpad(text(k), 10, "0").alias("cik")
+        return self.table("customer").select(
+            s(pick(k % 3, "T", "X", "Y"), text(k)).alias("ticker"), F.lpad(text(k), 10, "0").alias("cik")
         )
 
     @cached_property

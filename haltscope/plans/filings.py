@@ -330,7 +330,8 @@ def _(i: Inputs) -> DataFrame:
     return _resolved(i)
 
 
-@query("resolved_ticker_map", f"SELECT upper(ticker) AS ticker, cik FROM ({_RESOLVED}) WHERE cik IS NOT NULL")
+@query("resolved_ticker_map", f"""
+SELECT ticker, cik FROM ticker_map UNION SELECT upper(ticker) AS ticker, cik FROM ({_RESOLVED}) WHERE cik IS NOT NULL""")
 def _(i: Inputs) -> DataFrame:
     return R.resolved_map(_resolved(i), i.ticker_map)
 
@@ -561,12 +562,17 @@ def _(i: Inputs) -> DataFrame:
 
 
 @query("parse_decimal", """
-SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS price, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS INTEGER) END AS whole FROM events""")
+SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS price FROM events""")
+def _(i: Inputs) -> DataFrame:
+    price = F.when(F.col("event_id") % 4 == 0, F.lit("n/a")).otherwise(s(" ", text("value")))
+    return i.table("events").select("event_id", C.parse_decimal(price).cast("double").alias("price"))
+
+
+@query("int_or_null", """
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS INTEGER) END AS whole FROM events""")
 def _(i: Inputs) -> DataFrame:
     e = F.col("event_id")
-    price = F.when(e % 4 == 0, F.lit("n/a")).otherwise(s(" ", text("value")))
-    whole = F.when(e % 3 == 0, F.lit("1x")).otherwise(text(e))
-    return i.table("events").select("event_id", C.parse_decimal(price).cast("double").alias("price"), C.int_or_null(whole).alias("whole"))
+    return i.table("events").select("event_id", C.int_or_null(F.when(e % 3 == 0, F.lit("1x")).otherwise(text(e))).alias("whole"))
 
 
 @query("parse_feed_date", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(ts AS DATE) END AS parsed FROM events")

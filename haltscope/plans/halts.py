@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from haltscope.functions import clean as C
@@ -13,6 +15,7 @@ from haltscope.operators import metrics as X
 from haltscope.operators import quality as Q
 from haltscope.plans.derive import Inputs
 from haltscope.plans.registry import joined, query, r6
+from haltscope.session import work_dir
 from haltscope.sources import feeds, tables
 
 EPISODE_OUT = ["symbol", "market", "halt_start", "halt_end", "issue_name", "reason_code",
@@ -626,7 +629,8 @@ USING (symbol)"""
 
 @query("ticker_halt_metrics", _TICKER_METRICS)
 def _(i: Inputs) -> DataFrame:
-    return D.ticker_halt_metrics(i.episodes, D.ticker_halt_daily(i.episodes), feeds.market_days(i.halt_obs))
+    episodes = i.saved("episodes")
+    return D.ticker_halt_metrics(episodes, D.ticker_halt_daily(episodes), feeds.market_days(i.halt_obs))
 
 
 _REASON_METRICS = """
@@ -849,7 +853,7 @@ SELECT (SELECT count(*) FROM links) AS link_count, (SELECT count(*) FROM episode
        (SELECT count(*) FROM (SELECT 1 FROM links GROUP BY trade_halt_id HAVING count(*) > 1)) AS raw_in_two_episodes,
        (SELECT count(*) FROM (SELECT 1 FROM links GROUP BY episode_id HAVING count(*) > 1)) AS multi_raw_episodes""")
 def _(i: Inputs) -> DataFrame:
-    return Q.link_outcome(i.links, i.episodes, i.unique_obs)
+    return Q.link_outcome(i.links, i.saved("episodes"), i.unique_obs)
 
 
 @query("expected_vs_returned_ids", """
@@ -909,14 +913,20 @@ def _(i: Inputs) -> DataFrame:
     return tables.batch_result_rows(_metrics(i))
 
 
-@query("export_csv_levels", "SELECT symbol, trading_date, halt_present, episode_count, halt_at_close FROM daily")
+@query("export_csv_levels", """
+SELECT 'events' AS level, count(*) AS row_count FROM unique_obs UNION ALL SELECT 'episodes', count(*) FROM episodes
+UNION ALL SELECT 'daily', count(*) FROM daily UNION ALL SELECT 'ticker_metrics', count(DISTINCT symbol) FROM episodes
+UNION ALL SELECT 'reason_metrics', count(*) FROM (SELECT DISTINCT symbol, reason_code FROM episodes)""")
 def _(i: Inputs) -> DataFrame:
-    from haltscope.session import work_dir
-
     folder = work_dir(i.spark, "levels")
-    daily = D.ticker_halt_daily(i.episodes)
-    tables.export_levels({"daily": daily}, folder)
-    return i.spark.read.option("header", True).schema(daily.schema).csv(f"{folder}/daily")
+    levels = D.report_levels(i.saved("unique_obs"), i.saved("episodes"), feeds.market_days(i.halt_obs))
+    tables.export_levels(levels, folder)
+    counts = [
+        i.spark.read.option("header", True).csv(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("level"), "row_count")
+        for name in levels
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("export_live_events", """

@@ -299,7 +299,8 @@ VIEWS["tickers"] = """
 SELECT CASE c_custkey % 2 WHEN 0 THEN 't' ELSE 'T' END || c_custkey AS ticker, c_custkey AS k FROM customer
 """
 VIEWS["ticker_map"] = """
-SELECT 'T' || c_custkey AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik FROM customer WHERE c_custkey % 3 = 0
+SELECT CASE c_custkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'X' ELSE 'Y' END || c_custkey AS ticker,
+       lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik FROM customer
 """
 VIEWS["names"] = """
 SELECT 'T' || c_custkey AS ticker,

@@ -29,5 +29,8 @@ def with_day(rows: DataFrame, ts_col: str = "halt_start") -> DataFrame:
 
 
 def write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
-    """Replace this batch's folder with ``rows`` (which carry ``halt_day``)."""
-    rows.write.mode("overwrite").partitionBy("halt_day").parquet(f"{root.rstrip('/')}/batch={batch_id}")
+    """Replace this batch's folder with ``rows`` (which carry ``halt_day``).
+
+    Rebalancing gathers a day into few files; AQE still splits a very large day.
+    """
+    rows.hint("rebalance", F.col("halt_day")).write.mode("overwrite").partitionBy("halt_day").parquet(f"{root.rstrip('/')}/batch={batch_id}")
