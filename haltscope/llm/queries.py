@@ -103,3 +103,46 @@ def op3_exact_dedup(spark, sf_dir):
     from haltscope.llm.exact import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark, sf_dir):
+    from haltscope.llm.quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op5_filter_urls", r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, '(^|\.)(adult-x\.example\.com|ads-track\.example\.com|casino-win\.example\.net|cheap-pills\.example\.net|free-bets\.example\.net|spam-farm\.example\.org)$')
+    THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+""")
+def op5_filter_urls(spark, sf_dir):
+    from haltscope.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op6_scan_licenses")
+def op6_scan_licenses(spark, sf_dir):
+    from haltscope.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op10_score_toxicity")
+def op10_score_toxicity(spark, sf_dir):
+    from haltscope.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
