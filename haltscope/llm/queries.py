@@ -146,3 +146,10 @@ def op10_score_toxicity(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark, sf_dir):
+    from haltscope.llm.bpe import encoding_report
+
+    return encoding_report(table(spark, sf_dir, "documents"))
