@@ -153,3 +153,31 @@ def op9_byte_bpe(spark, sf_dir):
     from haltscope.llm.bpe import encoding_report
 
     return encoding_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_near_dedup", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN c ON c.node = s.doc_id
+""")
+def op8_near_dedup(spark, sf_dir):
+    from haltscope.llm.near import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op7_score_language_model")
+def op7_score_language_model(spark, sf_dir):
+    from haltscope.llm.scoring import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
