@@ -18,6 +18,11 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows per value of a column; NULL is a value."""
+    return df.groupBy(F.col(column).alias("object_name")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

@@ -4,53 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# How a key's history is cut: "day" or "hour" chunks, "none" for one window per
-# key, "auto" for "none" only when the whole input is provably small.
-DEFAULT_CHUNK = "auto"
-
-# No key can hold more than the whole input, so below this size one task per
-# key is safe and the plan without chunks is shorter.
-ONE_TASK_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate (from file sizes; no job runs), None if unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate means "assume large"
-        return None
-
-
-def chunk_unit_for(df: DataFrame, unit: str = DEFAULT_CHUNK) -> str:
-    if unit != "auto":
-        return unit
-    size = estimated_bytes(df)
-    return "none" if size is not None and size <= ONE_TASK_BYTES else "day"
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input one partition per core before work that is heavy per row.
-
-    A table in one small file is read by one task. Beyond ``ONE_TASK_BYTES`` the
-    scan has partitions enough and nothing is added.
-    """
-    size = estimated_bytes(df)
-    if size is None or size > ONE_TASK_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+# How a key's history is cut: into "day" chunks, or "hour" chunks for very hot keys.
+DEFAULT_CHUNK = "day"
 
 
 def time_chunk(ts: Column | str, unit: str) -> Column:
-    """Chunk number of a timestamp: its day, its hour for very hot keys, or one for all."""
+    """Chunk number of a timestamp: its day, or its hour for very hot keys."""
     ts = F.col(ts) if isinstance(ts, str) else ts
     day = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
     if unit == "day":
         return day
     if unit == "hour":
         return day * 24 + F.hour(ts)
-    if unit == "none":
-        return F.lit(0)
-    raise ValueError("chunk unit is 'day', 'hour' or 'none'")
+    raise ValueError("chunk unit is 'day' or 'hour'")
 
 
 def running_max(
@@ -61,7 +27,6 @@ def running_max(
     value: Column,
     out: str,
     inclusive: bool,
-    chunked: bool = True,
 ) -> DataFrame:
     """``max(value)`` over the earlier rows of each key, without a window per key.
 
@@ -74,9 +39,6 @@ def running_max(
     upto = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = df.withColumn("_value", value).withColumn("_local", F.max("_value").over(inside))
-    if not chunked:
-        return local.withColumnRenamed("_local", out).drop("_value")
-
     totals = local.groupBy(*part).agg(F.max("_value").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*part, F.max("_total").over(earlier).alias("_carry"))

@@ -90,7 +90,7 @@ def rvol_sql(minutes: int) -> str:
 SELECT * FROM (WITH b AS (SELECT x.*, c.is_session, c.next_seq AS s FROM ({bucket_sql(minutes)}) x
            JOIN calendar c ON c.cal_date = CAST(x.bucket_start AS DATE))
 SELECT a.ticker, a.bucket_start, a.volume, round(avg(h.volume), 6) AS baseline_volume, count(h.volume) AS baseline_days,
-       round(a.volume / nullif(avg(h.volume), 0), 6) AS rvol
+       round(a.volume / nullif(avg(h.volume), 0), 10) AS rvol
 FROM b a LEFT JOIN b h ON h.ticker = a.ticker AND h.is_session AND h.s BETWEEN a.s - 5 AND a.s - 1
  AND CAST(h.bucket_start AS TIME) = CAST(a.bucket_start AS TIME)
 GROUP BY 1, 2, 3)"""
@@ -98,7 +98,7 @@ GROUP BY 1, 2, 3)"""
 
 def _rvol(i: Inputs, minutes: int) -> DataFrame:
     out = B.rvol(i.bars, i.calendar, minutes)
-    return out.withColumns({"baseline_volume": r6("baseline_volume"), "rvol": r6("rvol")})
+    return out.withColumns({"baseline_volume": r6("baseline_volume"), "rvol": F.round("rvol", 10)})
 
 
 @query("rvol", rvol_sql(30))
@@ -158,9 +158,9 @@ def _(i: Inputs) -> DataFrame:
 
 
 @query("watchlist_semi", """
-SELECT ticker, bar_start FROM bars WHERE ticker IN (SELECT event_type FROM events WHERE value > 300)""")
+SELECT ticker, bar_start FROM bars WHERE ticker IN (SELECT event_type || '-' || (user_id // 50) FROM events WHERE value > 300)""")
 def _(i: Inputs) -> DataFrame:
-    listed = i.table("events").filter("value > 300").select(F.col("event_type").alias("ticker"))
+    listed = i.table("events").filter("value > 300").select(i.bar_ticker.alias("ticker"))
     return B.watchlist_only(i.bars, listed).select("ticker", "bar_start")
 
 

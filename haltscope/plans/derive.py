@@ -15,7 +15,6 @@ from haltscope.functions.calendar import trading_calendar
 from haltscope.functions.text import filing_url
 from haltscope.operators.canonical import canonical_halts
 from haltscope.operators.episodes import dedup_observations, episode_links, halt_episodes
-from haltscope.operators.scaling import spread_small
 from haltscope.session import work_dir
 
 CALENDAR_FROM, CALENDAR_TO = date(2020, 1, 1), date(2030, 12, 31)
@@ -56,11 +55,11 @@ class Inputs:
 
     @cached_property
     def events(self) -> DataFrame:
-        return spread_small(self.table("events"))
+        return self.table("events")
 
     @cached_property
     def orders(self) -> DataFrame:
-        return spread_small(self.table("orders"))
+        return self.table("orders")
 
     def saved(self, name: str) -> DataFrame:
         """A derived table written to the shared folder, for plans that read it several times."""
@@ -218,28 +217,30 @@ class Inputs:
 
     # -- bars ------------------------------------------------------------------
 
+    @cached_property
+    def bar_ticker(self) -> Column:
+        """Event type and a bucket of users, so that tickers grow with the users."""
+        return s(F.col("event_type"), "-", text(F.floor(F.col("user_id") / 50)))
+
     @cached_property
     def bars(self) -> DataFrame:
-        """One-minute bars per event type; the first event of a minute makes the bar."""
-        v, e = F.col("value"), F.col("event_id")
+        """One-minute bars per ticker, made of all its events of the minute."""
+        e, seen = F.col("event_id"), F.struct("ts", "event_id")
         minute = F.to_date("ts").cast("timestamp_ntz") + seconds(
             ((F.hour("ts") * 60 + F.minute("ts")) * 60).cast("bigint")
         )
-        rows = self.table("events").select("event_id", "value", "event_type", minute.alias("bar_start"))
-        first = rows.groupBy("event_type", "bar_start").agg(
-            F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value")
+        rows = self.table("events").select("event_id", "ts", "value", self.bar_ticker.alias("ticker"), minute.alias("bar_start"))
+        made = rows.groupBy("ticker", "bar_start").agg(
+            F.min("event_id").alias("event_id"),
+            F.min_by("value", seen).alias("open"),
+            (F.max("value") * 1.02).alias("high"),
+            (F.min("value") * 0.97).alias("low"),
+            F.max_by("value", seen).alias("close"),
+            F.sum(F.floor(F.col("value") * 100).cast("bigint")).alias("volume"),
         )
-        return first.select(
-            F.col("event_type").alias("ticker"),
-            pick(e % 4, "Q", "N", None, "A").alias("market"),
-            "bar_start",
-            v.alias("open"),
-            (v * 1.02).alias("high"),
-            (v * 0.97).alias("low"),
-            F.when(e % 2 == 0, v * 1.01).otherwise(v * 0.985).alias("close"),
-            F.floor(v * 100).cast("bigint").alias("volume"),
-            s("feed", text(e % 2)).alias("source"),
-            "event_id",
+        return made.select(
+            "ticker", pick(e % 4, "Q", "N", None, "A").alias("market"), "bar_start", "open", "high", "low", "close", "volume",
+            s("feed", text(e % 2)).alias("source"), "event_id",
         )
 
     @cached_property

@@ -11,7 +11,6 @@ from haltscope.operators import filings as O
 from haltscope.operators import merge as M
 from haltscope.operators import quality as Q
 from haltscope.operators import resolve as R
-from haltscope.operators.scaling import spread_small
 from haltscope.plans.derive import Inputs, pick, s, text
 from haltscope.plans.oracle_views import norm_name
 from haltscope.plans.registry import query
@@ -72,10 +71,10 @@ def _(i: Inputs) -> DataFrame:
 
 @query("insert_new_facts", f"""
 SELECT cik, concept, unit, accession_number, period_start, period_end, min(fact_value) AS fact_value FROM ({WARRANT_FACTS})
-WHERE fact_value >= 5 AND NOT (concept = 'ClassOfWarrantOrRightExercisePrice') GROUP BY ALL""")
+WHERE NOT (concept = 'ClassOfWarrantOrRightExercisePrice') GROUP BY ALL""")
 def _(i: Inputs) -> DataFrame:
     facts = O.warrant_facts(i.fact_docs)
-    twice = facts.unionByName(facts).filter("fact_value >= 5")
+    twice = facts.unionByName(facts)
     stored = facts.filter("concept = 'ClassOfWarrantOrRightExercisePrice'")
     return M.new_rows(stored, twice.select(*M.FACT_KEY, "fact_value"), M.FACT_KEY)
 
@@ -196,7 +195,7 @@ SELECT (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(text,
   '[\w\-]+(?:\s+[\w\-]+){0,3}\s+[Ww]arrants?\s*(?:\([^)]*\)\s*)?to purchase up to an aggregate of [\d,]+\s+shares')) FROM documents)) AS found,
   (SELECT count(*) FROM documents) AS documents""")
 def _(i: Inputs) -> DataFrame:
-    docs = spread_small(i.table("documents"))
+    docs = i.table("documents")
     found = O.warrant_terms(docs.select("doc_id", "text"), kinds=("share_quantity",))
     return found.agg(F.count(F.lit(1)).alias("found")).select(
         "found", docs.agg(F.count(F.lit(1))).scalar().alias("documents"))
@@ -243,7 +242,7 @@ _PAGE_TEXT = f"""trim(regexp_replace(regexp_replace(replace(replace(replace(repl
 @query("html_to_text", f"SELECT page_id, length(p) AS n_chars, md5(p) AS digest FROM (SELECT page_id, {_PAGE_TEXT} AS p FROM pages)")
 def _(i: Inputs) -> DataFrame:
     plain = X.html_to_text("html")
-    shown = spread_small(i.table("pages")).select("page_id", plain.alias("plain"))
+    shown = i.table("pages").select("page_id", plain.alias("plain"))
     return shown.select("page_id", F.length("plain").cast("bigint").alias("n_chars"), F.md5("plain").alias("digest"))
 
 

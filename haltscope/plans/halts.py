@@ -742,10 +742,9 @@ def _(i: Inputs) -> DataFrame:
 
 
 @query("union_counts", """
-SELECT market AS object_name, count(*) AS row_count FROM halt_obs WHERE market IN ('Q', 'N') GROUP BY 1 ORDER BY 1""")
+SELECT market AS object_name, count(*) AS row_count FROM halt_obs GROUP BY 1 ORDER BY 1""")
 def _(i: Inputs) -> DataFrame:
-    obs = i.halt_obs
-    return Q.table_counts({"Q": obs.filter("market = 'Q'"), "N": obs.filter("market = 'N'")}).orderBy("object_name")
+    return Q.value_counts(i.halt_obs, "market").orderBy("object_name")
 
 
 @query("duplicate_keys", """

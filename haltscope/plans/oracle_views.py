@@ -172,13 +172,12 @@ FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d, date_diff('day', DATE '202
 """
 
 VIEWS["bars"] = """
-SELECT event_type AS ticker,
-       CASE event_id % 4 WHEN 0 THEN 'Q' WHEN 1 THEN 'N' WHEN 3 THEN 'A' END AS market,
-       date_trunc('minute', ts) AS bar_start, value AS open, value * 1.02::DOUBLE AS high, value * 0.97::DOUBLE AS low,
-       CASE WHEN event_id % 2 = 0 THEN value * 1.01::DOUBLE ELSE value * 0.985::DOUBLE END AS "close",
-       CAST(floor(value * 100) AS BIGINT) AS volume, 'feed' || (event_id % 2) AS source, event_id
-FROM events
-QUALIFY row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY event_id) = 1
+SELECT ticker, CASE event_id % 4 WHEN 0 THEN 'Q' WHEN 1 THEN 'N' WHEN 3 THEN 'A' END AS market, bar_start, open, high, low, "close",
+       volume, 'feed' || (event_id % 2) AS source, event_id
+FROM (SELECT event_type || '-' || (user_id // 50) AS ticker, date_trunc('minute', ts) AS bar_start, min(event_id) AS event_id,
+             first(value ORDER BY ts, event_id) AS open, max(value) * 1.02::DOUBLE AS high, min(value) * 0.97::DOUBLE AS low,
+             last(value ORDER BY ts, event_id) AS "close", CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS volume
+      FROM events GROUP BY 1, 2)
 """
 VIEWS["stored_bars"] = "SELECT * FROM bars WHERE hour(bar_start) < 16"
 VIEWS["incoming_bars"] = "SELECT * FROM bars WHERE hour(bar_start) >= 8"

@@ -144,7 +144,7 @@ def _stream_of(rows: DataFrame, i: Inputs, label: str, files_per_batch: int | No
 @query("stream_dedup", """
 SELECT DISTINCT symbol, halt_start, resumption_date, resumption_trade_time, reason_code FROM halt_obs""")
 def _(i: Inputs) -> DataFrame:
-    stream = _stream_of(i.halt_obs, i, "dedup-in")
+    stream = _stream_of(i.halt_obs.repartition(4, F.xxhash64("obs_id")), i, "dedup-in", 1)
     unique = SH.stream_dedup(stream, "40 days").select(
         "symbol", "halt_start", "resumption_date", "resumption_trade_time", "reason_code")
     return _drain(unique, i, "dedup-out")
@@ -174,14 +174,12 @@ def _(i: Inputs) -> DataFrame:
 @query("stream_open_halts", """
 SELECT symbol, market, halt_start, halt_end, array_to_string(reason_codes, '|') AS reason_codes, halt_end IS NULL AS is_open FROM episodes""")
 def _(i: Inputs) -> DataFrame:
-    updates = _drain_updates(SH.stream_open_halts(_stream_of(i.unique_obs, i, "open-in")), i, "open-out")
-    key = ["symbol", "market", "halt_start"]
-    rest = ["halt_end", "reason_codes", "is_open"]
-    last = updates.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return last.select(
-        "symbol", "market", F.col("halt_start").cast("timestamp_ntz").alias("halt_start"),
-        F.col("r.halt_end").cast("timestamp_ntz").alias("halt_end"), F.array_join("r.reason_codes", "|").alias("reason_codes"),
-        "r.is_open")
+    seen, episodes, checkpoint = work_dir(i.spark, "open-seen"), work_dir(i.spark, "open-episodes"), work_dir(i.spark, "open-cp")
+    # Rows come in hashed order, two files a trigger.
+    stream = _stream_of(i.unique_obs.repartition(6, F.xxhash64("obs_id")), i, "open-in", 2)
+    SH.stream_open_halts(stream, seen, episodes, checkpoint, ["obs_id"]).trigger(availableNow=True).start().awaitTermination()
+    return SH.read_open_halts(i.spark, episodes).select(
+        "symbol", "market", "halt_start", "halt_end", F.array_join("reason_codes", "|").alias("reason_codes"), "is_open")
 
 
 # Two polls: the table after the second equals the merge of both snapshots.
@@ -219,6 +217,7 @@ FROM halt_rows h LEFT JOIN (
 def _(i: Inputs) -> DataFrame:
     halts, arrived, checkpoint = work_dir(i.spark, "late-halts"), work_dir(i.spark, "late-seen"), work_dir(i.spark, "late-cp")
     versions.write_batch(versions.with_day(i.halt_rows), halts, 0)
-    stream = _stream_of(i.resumptions, i, "late-in")
+    # Several batches, later moments first for some halts.
+    stream = _stream_of(i.resumptions.repartition(6, F.xxhash64("id")), i, "late-in", 2)
     SH.late_resumptions(stream, halts, 1, arrived, checkpoint, "id").trigger(availableNow=True).start().awaitTermination()
     return versions.read_current(i.spark, halts).select("id", *RESUMPTION_BLOCK)

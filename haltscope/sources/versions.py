@@ -8,11 +8,20 @@ run again replaces its own folder, so writing is idempotent.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def read_current(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
-    """The table without the version columns; ``before_batch`` hides later batches."""
-    stored = spark.read.option("basePath", root).parquet(root)
+def read_current(
+    spark: SparkSession, root: str, before_batch: int | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """The table without the version columns; ``before_batch`` hides later batches.
+
+    With a ``schema`` (``halt_day`` included) a table of empty batches can be read.
+    """
+    reader = spark.read.option("basePath", root)
+    if schema is not None:
+        reader = reader.schema(StructType([*schema.fields, StructField("batch", IntegerType())]))
+    stored = reader.parquet(root)
     if before_batch is not None:
         stored = stored.filter(F.col("batch") < before_batch)
     # Partition columns only: no data column is read for this.

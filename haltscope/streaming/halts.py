@@ -1,17 +1,15 @@
-"""Live halts: ingest, deduplication, open-halt state, late resumptions."""
+"""Live halts: ingest, deduplication, open halts, late resumptions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from haltscope.functions.clean import normalize_market, valid_end
+from haltscope.functions.clean import normalize_market
 from haltscope.operators.canonical import canonical_halts
-from haltscope.operators.episodes import OBSERVATION_KEY, dedup_observations, halt_episodes
+from haltscope.operators.episodes import OBSERVATION_KEY, dedup_observations, halt_episodes, usable_observations
 from haltscope.operators.merge import (
     enrich_halts,
     merge_episodes,
@@ -56,14 +54,20 @@ def stream_dedup(events: DataFrame, delay: str = "1 day") -> DataFrame:
 ORDER = ["source_file", "halt_start", "halt_end"]
 
 
-def ingest_batch(halts_root: str, episodes_root: str, order_cols: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: upsert one snapshot into the halt and episode tables."""
+def ingest_batch(
+    halts_root: str, episodes_root: str, order_cols: list[str], rejects_root: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: upsert one snapshot into the halt and episode tables.
+
+    Observations that cannot be stored as halts (no start, market or reason) are
+    written to ``rejects_root`` with what is missing.
+    """
 
     def upsert(rows: DataFrame, root: str, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         spark = rows.sparkSession
         incoming = with_day(rows)
         if batch_id > 0:
-            stored = read_current(spark, root, batch_id)
+            stored = read_current(spark, root, batch_id, incoming.schema)
             existing = stored.join(days_of(incoming), "halt_day", "left_semi")
         else:
             existing = incoming.filter(F.lit(False))
@@ -72,9 +76,13 @@ def ingest_batch(halts_root: str, episodes_root: str, order_cols: list[str]) ->
     def run(batch: DataFrame, batch_id: int) -> None:
         snapshot = dedup_observations(batch, order_cols).persist()
         try:
-            usable = snapshot.filter(
-                F.col("halt_start").isNotNull() & F.col("market").isNotNull() & F.col("reason_code").isNotNull()
+            missing = F.filter(
+                F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("halt_start", "market", "reason_code")]), lambda c: c.isNotNull()
             )
+            usable = snapshot.filter(F.size(missing) == 0)
+            if rejects_root:
+                refused = snapshot.withColumn("missing", missing).filter(F.size("missing") > 0)
+                refused.write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
             upsert(canonical_halts(usable, order_cols), halts_root, batch_id, merge_halts)
             upsert(halt_episodes(snapshot, order_cols), episodes_root, batch_id, merge_episodes)
         finally:
@@ -84,11 +92,12 @@ def ingest_batch(halts_root: str, episodes_root: str, order_cols: list[str]) ->
 
 
 def live_halt_ingest(
-    events: DataFrame, halts_root: str, episodes_root: str, checkpoint: str, order_cols: list[str] = ORDER
+    events: DataFrame, halts_root: str, episodes_root: str, checkpoint: str, order_cols: list[str] = ORDER,
+    rejects_root: str | None = None,
 ) -> DataStreamWriter:
     """Stream of observations -> stored halts and episodes. Start it with a trigger of your choice."""
     return (
-        events.writeStream.foreachBatch(ingest_batch(halts_root, episodes_root, order_cols))
+        events.writeStream.foreachBatch(ingest_batch(halts_root, episodes_root, order_cols, rejects_root))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
@@ -111,6 +120,8 @@ def late_resumption_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: late resumptions enrich stored halts, never create one.
 
+    All resumptions that ever arrived are kept in ``resumptions_path``; a halt gets
+    the best of all of them, so a batch with an earlier moment takes nothing back.
     No watermark bounds it: a resumption may come weeks later. Only the days of
     the halts concerned are rewritten.
     """
@@ -120,11 +131,13 @@ def late_resumption_batch(
         version = first_batch + batch_id
         arrived = batch.filter(F.col("resumption_date").isNotNull()).persist()
         try:
-            halts = read_current(spark, halts_root, version)
-            touched = halts.join(days_of(with_day(arrived)), "halt_day", "left_semi")
-            done = enrich_halts(touched, arrived, id_col).drop("raw_updated")
-            write_batch(done, halts_root, version)
-            arrived.write.mode("overwrite").parquet(f"{resumptions_path.rstrip('/')}/batch={batch_id}")
+            seen = resumptions_path.rstrip("/")
+            arrived.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+            stored = spark.read.schema(arrived.schema.add("batch", "integer")).option("basePath", seen).parquet(seen)
+            days = days_of(with_day(arrived))
+            known = with_day(stored.filter(F.col("batch") <= batch_id).drop("batch")).join(days, "halt_day", "left_semi").drop("halt_day")
+            touched = read_current(spark, halts_root, version).join(days, "halt_day", "left_semi")
+            write_batch(enrich_halts(touched, known, id_col).drop("raw_updated"), halts_root, version)
         finally:
             arrived.unpersist()
 
@@ -139,71 +152,39 @@ def late_resumptions(
     ).option("checkpointLocation", checkpoint)
 
 
-# -- open halts as keyed state ---------------------------------------------------------
+# -- open halts ---------------------------------------------------------------------------
 
-OPEN_HALT = (
-    "symbol string, market string, halt_start timestamp, halt_end timestamp,"
-    " reason_codes array<string>, is_open boolean"
-)
-OPEN_STATE = "halt_start timestamp, halt_end timestamp, reason_codes array<string>"
+def open_halt_batch(observations: str, episodes: str, order_cols: list[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: keep the episodes of all (symbol, venue) pairs seen so far.
 
+    The batch's observations are stored; then :func:`halt_episodes` runs over all
+    stored observations of the pairs that the batch touches, and its result
+    becomes their new version. Late rows thus land in the episode they belong to,
+    in whatever order batches bring them. A batch that is run again replaces its
+    own folders.
+    """
 
-def _advance(key: tuple, frames, state: GroupState):
-    """Fold one key's new rows, by start, into its current episode.
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        usable_observations(batch).write.mode("overwrite").parquet(f"{observations}/batch={batch_id}")
+        stored = spark.read.schema(batch.schema.add("batch", "integer")).option("basePath", observations).parquet(observations)
+        stored = stored.withColumn("_venue", F.coalesce(normalize_market("market"), F.lit("")))
+        touched = stored.filter(F.col("batch") == batch_id).select("symbol", "_venue").distinct()
+        known = stored.filter(F.col("batch") <= batch_id).join(touched, ["symbol", "_venue"], "left_semi").drop("_venue", "batch")
+        halt_episodes(known, order_cols).write.mode("overwrite").parquet(f"{episodes}/batch={batch_id}")
 
-    Rows are reduced to (latest end, reasons) per start as they arrive, so what
-    is held is one entry per distinct start of the micro-batch.
-    """
-    by_start: dict = {}
-    for frame in frames:
-        for start, end, reason in frame[["halt_start", "halt_end", "reason_code"]].itertuples(index=False, name=None):
-            seen_end, reasons = by_start.setdefault(start, [None, set()])
-            if pd.notna(end) and (seen_end is None or end > seen_end):
-                by_start[start][0] = end
-            if pd.notna(reason):
-                reasons.add(reason)
-    rows = [(start, end, sorted(reasons)) for start, (end, reasons) in sorted(by_start.items())]
-    current = list(state.get) if state.exists else None
-    out = []
-    for start, end, reasons in rows:
-        if current is not None and (pd.isna(current[1]) or start <= current[1]):
-            current[0] = min(current[0], start)
-            if pd.notna(end) and (pd.isna(current[1]) or end > current[1]):
-                current[1] = end
-            current[2] = sorted({*current[2], *reasons})
-        else:
-            if current is not None:
-                out.append(current)
-            current = [start, None if pd.isna(end) else end, list(reasons)]
-    out.append(current)
-    state.update((current[0], None if pd.isna(current[1]) else current[1], current[2]))
-    yield pd.DataFrame(
-        {
-            "symbol": key[0],
-            "market": key[1],
-            "halt_start": [r[0] for r in out],
-            "halt_end": pd.to_datetime(pd.Series([r[1] for r in out], dtype="object")),
-            "reason_codes": [list(r[2]) for r in out],
-            "is_open": [bool(pd.isna(r[1])) for r in out],
-        }
-    )
+    return run
 
 
-def stream_open_halts(events: DataFrame) -> DataFrame:
-    """Current and just-finished episodes per (symbol, venue), emitted whenever they change.
+def stream_open_halts(events: DataFrame, observations: str, episodes: str, checkpoint: str, order_cols: list[str] = ORDER) -> DataStreamWriter:
+    """Stream of observations -> versions of the episodes of each touched (symbol, venue)."""
+    return events.writeStream.foreachBatch(open_halt_batch(observations, episodes, order_cols)).option("checkpointLocation", checkpoint)
 
-    The state of a key is one episode. Rows are folded in start order within a
-    micro-batch; upsert the output on (symbol, market, halt_start). A key's rows
-    of one micro-batch meet in one task, so size the trigger accordingly, or use
-    :func:`live_halt_ingest`, which has no such limit.
-    """
-    keyed = events.filter(F.col("halt_start").isNotNull()).select(
-        "symbol",
-        F.coalesce(normalize_market("market"), F.lit("")).alias("market"),
-        "reason_code",
-        F.col("halt_start").cast("timestamp").alias("halt_start"),
-        valid_end("halt_start", "halt_end").cast("timestamp").alias("halt_end"),
-    )
-    return keyed.groupBy("symbol", "market").applyInPandasWithState(
-        _advance, OPEN_HALT, OPEN_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+
+def read_open_halts(spark: SparkSession, episodes: str) -> DataFrame:
+    """The newest version of each (symbol, venue): its episodes, and which are open."""
+    stored = spark.read.option("basePath", episodes).parquet(f"{episodes}/batch=*")
+    pair = ["symbol", F.coalesce("market", F.lit("")).alias("_venue")]
+    newest = stored.groupBy(*pair).agg(F.max("batch").alias("batch"))
+    current = stored.withColumn("_venue", pair[1]).join(newest, ["symbol", "_venue", "batch"])
+    return current.select(*[c for c in stored.columns if c != "batch"], F.col("halt_end").isNull().alias("is_open"))

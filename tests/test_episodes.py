@@ -1,4 +1,4 @@
-"""Episodes against a plain state machine, on whole-table and chunked plans."""
+"""Episodes against a plain state machine, on chunked plans."""
 
 import random
 from datetime import datetime, timedelta
@@ -80,7 +80,7 @@ def random_rows(seed, n, symbols, minutes):
     return rows
 
 
-@pytest.mark.parametrize("unit", ["none", "day", "hour", "auto"])
+@pytest.mark.parametrize("unit", ["day", "hour"])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_same_as_a_state_machine(spark, unit, seed):
     rows = random_rows(seed, 1500, 12, 20000)
@@ -89,7 +89,7 @@ def test_same_as_a_state_machine(spark, unit, seed):
     assert found(E.halt_episodes(obs(spark, rows), ["obs_id"], chunk_unit=unit)) == walk(rows)
 
 
-@pytest.mark.parametrize("unit", ["none", "day"])
+@pytest.mark.parametrize("unit", ["day", "hour"])
 def test_membership_agrees_with_episodes(spark, unit):
     rows = random_rows(5, 800, 6, 15000)
     table = obs(spark, rows)

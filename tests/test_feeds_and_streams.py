@@ -98,27 +98,46 @@ def test_late_resumption_enriches_but_never_creates(spark, tmp_path):
     assert [(r.symbol, r.resumption_date, r.reason_code) for r in rows] == [("A", date(2024, 1, 16), "T1")]
 
 
-def test_open_halt_state_over_batches(spark, tmp_path):
-    schema = "symbol string, market string, reason_code string, halt_start timestamp_ntz, halt_end timestamp_ntz"
+def test_open_halts_over_batches_in_any_order(spark, tmp_path):
+    schema = ("k long, symbol string, market string, reason_code string, halt_start timestamp_ntz, halt_end timestamp_ntz,"
+              " issue_name string, pause_threshold_price double")
     d = lambda h, m: datetime(2024, 1, 5, h, m)
-    batches = [[("A", "Q", "T1", d(10, 0), None)], [("A", "NASDAQ", "H11", d(10, 5), d(10, 30))],
-               [("A", "Q", "T1", d(10, 30), d(10, 45)), ("A", "Q", "M", d(12, 0), None)]]
-    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    for k, rows in enumerate(batches):
+    rest = (None, None)
+    batches = [[(0, "A", "Q", "T1", d(10, 0), d(10, 5), *rest)], [(1, "A", "Q", "T1", d(9, 0), d(9, 10), *rest)],
+               [(2, "A", "NASDAQ", "H11", d(10, 5), d(10, 30), *rest), (3, "B", None, "M", d(8, 0), None, *rest)],
+               [(4, "A", "Q", "M", d(12, 0), None, *rest), (5, "A", "Q", "M", None, None, *rest)]]
+    source, seen, episodes, cp = (str(tmp_path / n) for n in ("in", "seen", "episodes", "cp"))
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = SH.stream_open_halts(spark.readStream.schema(schema).parquet(source))
-
-        def keep(batch, batch_id):
-            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-        run(stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", cp))
-    updates = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    last = updates.groupBy("halt_start").agg(F.max_by(F.struct("halt_end", "reason_codes", "is_open"), "batch").alias("r"))
-    got = {r.halt_start.hour: (r.r.halt_end, r.r.reason_codes, r.r.is_open) for r in last.collect()}
-    assert got == {10: (d(10, 45), ["H11", "T1"], False), 12: (None, ["M"], True)}
-    whole = spark.createDataFrame([r for b in batches for r in b], schema).withColumns(
-        {"k": F.monotonically_increasing_id(), "issue_name": F.lit(None).cast("string"), "pause_threshold_price": F.lit(None).cast("double")})
-    assert {(r.halt_start.hour, r.halt_end) for r in halt_episodes(whole, ["k"]).collect()} == {(10, d(10, 45)), (12, None)}
+        run(SH.stream_open_halts(spark.readStream.schema(schema).parquet(source), seen, episodes, cp, ["k"]))
+    got = {(r.symbol, r.market, r.halt_start, r.halt_end, tuple(r.reason_codes), r.is_open) for r in SH.read_open_halts(spark, episodes).collect()}
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert got == {(r.symbol, r.market, r.halt_start, r.halt_end, tuple(r.reason_codes), r.halt_end is None) for r in halt_episodes(whole, ["k"]).collect()}
+    assert ("A", "NASDAQ", d(9, 0), d(9, 10), ("T1",), False) in got and len(got) == 4
+
+
+def test_first_poll_without_a_usable_row(spark, tmp_path):
+    source, halts, episodes, cp, rejects = (str(tmp_path / n) for n in ("in", "halts", "episodes", "cp", "rejects"))
+    (tmp_path / "in").mkdir()
+    for name, item in (("tradehalts_1.xml", {"symbol": "X", "reason": None}), ("tradehalts_2.xml", {"symbol": "B"})):
+        text = feed(item) if item.get("reason", 1) else feed({"symbol": "X"}).replace("ReasonCode", "Other")
+        (tmp_path / "in" / name).write_text(text)
+        run(SH.live_halt_ingest(SH.read_feed_stream(spark, source), halts, episodes, cp, ["source_file", "halt_end"], rejects))
+    assert [r.symbol for r in versions.read_current(spark, halts).collect()] == ["B"]
+    assert [(r.symbol, r.missing) for r in spark.read.parquet(rejects).collect()] == [("X", ["reason_code"])]
+
+
+def test_an_earlier_resumption_takes_nothing_back(spark, tmp_path):
+    halts, seen, cp, source = (str(tmp_path / n) for n in ("halts", "seen", "cp", "in"))
+    schema = ("id long, symbol string, market string, halt_start timestamp_ntz, reason_code string, resumption_date date,"
+              " resumption_quote_time string, resumption_trade_time string")
+    start = datetime(2024, 1, 5, 10)
+    versions.write_batch(versions.with_day(spark.createDataFrame([(1, "A", "Q", start, "T1", None, None, None)], schema)), halts, 0)
+    for k, day in enumerate((10, 16, 12)):
+        late = [(5 + k, "A", "Q", start, None, date(2024, 1, day), None, "09:30:00")]
+        spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
+        run(SH.late_resumptions(spark.readStream.schema(schema).parquet(source), halts, 1, seen, cp, "id"))
+    assert [r.resumption_date for r in versions.read_current(spark, halts).collect()] == [date(2024, 1, 16)]
 
 
 def test_only_closed_buckets_are_appended(spark, tmp_path):
