@@ -8,7 +8,9 @@ starts (median and MAD; all rows) the one with the smaller determinant counts.
 A text is judged by the finest estimate that rests on ``MIN_ROWS`` texts.
 
 All steps are aggregates that combine before the shuffle; a step's result has a
-row per group and is written to the shared folder.
+row per group and is written to the shared folder before rows join it. Its size is
+then known, so a small one is sent to the rows, which stay where they are and are
+summed there: a group with all rows never meets in one task.
 """
 
 from __future__ import annotations
@@ -161,7 +163,7 @@ def _estimate(moments: DataFrame) -> DataFrame:
 def _median_start(rows: DataFrame) -> DataFrame:
     """Medians and MADs, as the sums that a group of one row with them would have."""
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"s{i}") for i, x in enumerate(X)])
-    mad = rows.join(middle, "grp").groupBy("grp").agg(
+    mad = rows.join(stored(middle, "mcd-middle"), "grp").groupBy("grp").agg(
         *[F.first(f"s{i}").alias(f"s{i}") for i in range(P)],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"s{i}")), 0.5, 10000).alias(f"m{i}") for i, x in enumerate(X)],
     )
@@ -189,8 +191,10 @@ def mcd_estimates(rows: DataFrame, steps: int = STEPS, subset: float = SUBSET, m
     for step in range(steps):
         far = _with_distance(starts.join(now.select("grp", "start", "mean", "form"), ["grp", "start"])).drop("mean", "form")
         edge = far.groupBy("grp", "start").agg(F.percentile_approx("d", subset, 10000).alias("edge"))
+        edge = stored(edge, f"mcd-edge-{step}")
         now = stored(_estimate(_moments(far.join(edge, ["grp", "start"]).filter("d <= edge"))), f"mcd-{step + 1}")
     best = now.groupBy("grp").agg(F.min_by(F.struct("mean", "form"), F.struct("logdet", "start")).alias("b")).select("grp", "b.mean", "b.form")
+    best = stored(best, "mcd-least")
     spread = _with_distance(each.join(best, "grp")).groupBy("grp").agg((F.percentile_approx("d", 0.5, 10000) / F.lit(CHI2_MEDIAN)).alias("scale"))
     return stored(best.join(spread, "grp"), "mcd-best")
 
