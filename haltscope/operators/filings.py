@@ -18,6 +18,9 @@ EXHIBIT_PREFIX = "EX-"
 WARRANT_EXHIBIT_PREFIX = "EX-4"
 WARRANT_TAXONOMY, WARRANT_CONCEPT_PREFIX = "us-gaap", "ClassOfWarrantOrRight"
 SHARES_TAXONOMY, SHARES_CONCEPT = "dei", "EntityCommonStockSharesOutstanding"
+# Names of the tables that a row of the diagnostics comes from.
+WARRANT_SOURCE, SHARES_SOURCE = "warrant", "shares_outstanding"
+EXHIBIT_SOURCE, TERM_SOURCE = "8k_warrant_exhibit", "8k_warrant_text_extraction"
 
 FACTS_SCHEMA = (
     "struct<facts: map<string, map<string, struct<units: map<string, array<struct<"
@@ -25,6 +28,7 @@ FACTS_SCHEMA = (
     " form: string, filed: string>>>>>>>"
 )
 
+# The columns of the diagnostics.
 DIAGNOSTIC_COLUMNS = [
     "ticker", "cik", "source_table", "concept", "description", "unit", "value", "period_start",
     "period_end", "form", "filed_date", "accession_number", "filing_url", "raw_snippet",
@@ -54,6 +58,11 @@ def main_documents(documents: DataFrame, key: str = "accession_number") -> DataF
     return picked.select(key, *[F.col(f"_d.{c}").alias(c) for c in rest])
 
 
+def texts_of(filings: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pages or texts of some filings: to be taken before they are parsed."""
+    return texts.join(filings.select("accession_number"), "accession_number", "left_semi")
+
+
 def exhibit_rows(filings: DataFrame, documents: DataFrame) -> DataFrame:
     """Warrant exhibits of candidate filings in the stored shape."""
     docs = warrant_exhibits(documents).select(
@@ -83,6 +92,11 @@ def explode_facts(docs: DataFrame, taxonomy: str, concept: Column, json_col: str
     concepts = parse_facts(docs, json_col).select(
         *keep, F.explode(F.col("_doc.facts")[taxonomy]).alias("concept", "_body")
     ).filter(concept)
+    return _fact_entries(concepts, keep)
+
+
+def _fact_entries(concepts: DataFrame, keep: list[str]) -> DataFrame:
+    """Concepts with their ``_body`` -> one row per unit and entry."""
     units = concepts.select(*keep, "concept", F.explode("_body.units").alias("unit", "_entries"))
     entries = units.select(*keep, "concept", "unit", F.explode("_entries").alias("_e"))
     return entries.select(
@@ -195,9 +209,18 @@ def reverse_splits(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def term_rows(filings: DataFrame, main_texts: DataFrame) -> DataFrame:
     """Terms of candidate filings' main documents (accession_number, document_url, text)."""
-    return candidate_filings(filings).select(
-        "cik", "accession_number", F.col("filing_date").alias("filed_date"), "form_type"
-    ).join(warrant_terms(main_texts), "accession_number")
+    wanted = candidate_filings(filings).select("cik", "accession_number", F.col("filing_date").alias("filed_date"), "form_type")
+    return wanted.join(warrant_terms(texts_of(wanted, main_texts)), "accession_number")
+
+
+def response_items(response: str) -> Column:
+    """The items of an extractor's answer, with or without a code fence; NULL unless it is a JSON array."""
+    answer = F.trim(F.regexp_replace(F.col(response), r"^\s+|\s+$", ""))
+    fenced = answer.startswith("```")
+    answer = F.when(
+        fenced, F.regexp_replace(F.regexp_replace(answer, r"^```(?:json)?\s*", ""), r"\s*```\s*$", "")
+    ).otherwise(answer)
+    return F.try_variant_get(F.try_parse_json(answer), "$", "array<variant>")
 
 
 def validated_terms(responses: DataFrame, response_col: str = "response", text_col: str = "text") -> DataFrame:
@@ -207,12 +230,7 @@ def validated_terms(responses: DataFrame, response_col: str = "response", text_c
     array gives no rows. An item stays only if its kind is known, its snippet
     occurs word for word in the document and its value converts.
     """
-    answer = F.trim(F.regexp_replace(F.col(response_col), r"^\s+|\s+$", ""))
-    fenced = answer.startswith("```")
-    answer = F.when(
-        fenced, F.regexp_replace(F.regexp_replace(answer, r"^```(?:json)?\s*", ""), r"\s*```\s*$", "")
-    ).otherwise(answer)
-    items = F.try_variant_get(F.try_parse_json(answer), "$", "array<variant>")
+    items = response_items(response_col)
     keep = [c for c in responses.columns if c not in (response_col, text_col)]
     rows = responses.select(*keep, text_col, F.explode(items).alias("_i"))
 
@@ -250,6 +268,19 @@ def validated_terms(responses: DataFrame, response_col: str = "response", text_c
     ).drop(text_col)
 
 
+def diagnostic_facts(docs: DataFrame, json_col: str = "facts_json") -> DataFrame:
+    """Warrant and share-count facts from one pass over the documents, named by ``source_table``."""
+    keep = [c for c in docs.columns if c != json_col]
+    taxonomies = parse_facts(docs, json_col).select(*keep, F.explode("_doc.facts").alias("_taxonomy", "_concepts"))
+    concepts = taxonomies.filter(F.col("_taxonomy").isin(WARRANT_TAXONOMY, SHARES_TAXONOMY)).select(
+        *keep, "_taxonomy", F.explode("_concepts").alias("concept", "_body"))
+    source = F.when(
+        (F.col("_taxonomy") == WARRANT_TAXONOMY) & F.col("concept").startswith(WARRANT_CONCEPT_PREFIX), F.lit(WARRANT_SOURCE)
+    ).when((F.col("_taxonomy") == SHARES_TAXONOMY) & (F.col("concept") == SHARES_CONCEPT), F.lit(SHARES_SOURCE))
+    wanted = concepts.withColumn("source_table", source).filter(F.col("source_table").isNotNull())
+    return _fact_entries(wanted, [*keep, "source_table"])
+
+
 # -- diagnostics ---------------------------------------------------------------
 
 def term_value(kind: Column | str = "kind") -> Column:
@@ -266,22 +297,35 @@ def term_unit(kind: Column | str = "kind") -> Column:
     return literal_lookup(F.col(kind) if isinstance(kind, str) else kind, P.TERM_UNITS)
 
 
+def of_issuers(rows: DataFrame, tickers: DataFrame, ticker_map: DataFrame) -> DataFrame:
+    """Rows (cik, ...) of the issuers that the tickers resolve to: to be taken before documents are parsed."""
+    listed = tickers.select(F.upper("ticker").alias("ticker"))
+    return rows.join(ticker_map.join(listed, "ticker", "left_semi").select("cik"), "cik", "left_semi")
+
+
 def warrant_diagnostics(
     tickers: DataFrame,
     ticker_map: DataFrame,
     facts: DataFrame,
-    shares: DataFrame,
+    shares: DataFrame | None,
     exhibits: DataFrame,
     terms: DataFrame,
 ) -> DataFrame:
-    """Everything known per resolved ticker in one 16-column shape; unresolved tickers drop out."""
+    """Everything known per resolved ticker in one 16-column shape; unresolved tickers drop out.
+
+    Without ``shares``, ``facts`` holds both kinds, as :func:`diagnostic_facts` names them.
+    """
     resolved = tickers.select(F.upper("ticker").alias("_t"), "ticker").join(
         ticker_map.select(F.col("ticker").alias("_t"), "cik"), "_t"
     ).drop("_t")
 
-    def fact_rows(df: DataFrame, name: str) -> DataFrame:
+    if shares is not None:
+        facts = facts.withColumn("source_table", F.lit(WARRANT_SOURCE)).unionByName(
+            shares.withColumn("source_table", F.lit(SHARES_SOURCE)))
+
+    def fact_rows(df: DataFrame) -> DataFrame:
         return df.select(
-            "cik", F.lit(name).alias("source_table"), "concept", "unit",
+            "cik", "source_table", "concept", "unit",
             F.col("fact_value").cast("double").alias("value"),
             "period_start", "period_end", "form", "filed_date", "accession_number",
             filing_url("cik", "accession_number").alias("filing_url"),
@@ -289,7 +333,7 @@ def warrant_diagnostics(
 
     exhibit_part = exhibits.select(
         "cik",
-        F.lit("8k_warrant_exhibit").alias("source_table"),
+        F.lit(EXHIBIT_SOURCE).alias("source_table"),
         F.col("exhibit_type").alias("concept"),
         "description",
         F.col("form_type").alias("form"),
@@ -300,7 +344,7 @@ def warrant_diagnostics(
     )
     term_part = terms.select(
         "cik",
-        F.lit("8k_warrant_text_extraction").alias("source_table"),
+        F.lit(TERM_SOURCE).alias("source_table"),
         F.col("kind").alias("concept"),
         F.col("label").alias("description"),
         term_unit().alias("unit"),
@@ -312,7 +356,7 @@ def warrant_diagnostics(
         "raw_snippet",
         "extraction_method",
     )
-    parts = [fact_rows(facts, "warrant"), fact_rows(shares, "shares_outstanding"), exhibit_part, term_part]
+    parts = [fact_rows(facts), exhibit_part, term_part]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # One issuer may own a large share of the rows; its ticker row is what repeats.
     return spread_join(union, resolved, ["cik"], ["accession_number", "concept"]).select(*DIAGNOSTIC_COLUMNS)

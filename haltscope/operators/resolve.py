@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haltscope.functions.clean import issuer_id_pad
@@ -17,13 +19,16 @@ def ticker_map_from_records(records: DataFrame, order_cols: list[str]) -> DataFr
     return best_row(shaped, ["ticker"], F.struct(*order_cols)).select("ticker", "cik")
 
 
-def build_ticker_map(docs: DataFrame, json_col: str = "json") -> DataFrame:
-    """Id-keyed JSON documents {"0": {"cik_str", "ticker", "title"}, ...} -> ticker map."""
+def build_ticker_map(docs: DataFrame, json_col: str = "json", order_cols: Sequence[str] = ()) -> DataFrame:
+    """Id-keyed JSON documents {"0": {"cik_str", "ticker", "title"}, ...} -> ticker map.
+
+    The last record of a ticker wins: by ``order_cols`` of its document, then by place in it.
+    """
     parsed = F.from_json(json_col, "map<string, struct<cik_str: string, ticker: string, title: string>>")
-    records = docs.select(F.posexplode(F.map_entries(parsed)).alias("pos", "entry")).select(
-        "pos", F.col("entry.value.ticker").alias("ticker"), F.col("entry.value.cik_str").alias("cik_str")
+    records = docs.select(*order_cols, F.posexplode(F.map_entries(parsed)).alias("pos", "entry")).select(
+        *order_cols, "pos", F.col("entry.value.ticker").alias("ticker"), F.col("entry.value.cik_str").alias("cik_str")
     )
-    return ticker_map_from_records(records, ["pos"])
+    return ticker_map_from_records(records, [*order_cols, "pos"])
 
 
 def issuer_names(tickers: DataFrame, episodes: DataFrame) -> DataFrame:

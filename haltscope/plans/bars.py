@@ -237,8 +237,7 @@ def _(i: Inputs) -> DataFrame:
         _flat_rows(i).withColumn("day", F.date_format("_day", "yyyy-MM-dd")).drop("_day")
         .repartition("day").write.partitionBy("day").option("header", True).option("compression", "gzip").csv(folder)
     )
-    rows = i.spark.read.schema(S.FLATFILE_BAR + ", day date").option("header", True).csv(folder)
-    shaped = S.shape_flatfile_rows(rows.withColumnRenamed("day", "_day"), i.calendar)
+    shaped = S.scan_flatfile_bars(i.spark, folder, i.calendar)
     return shaped.select("ticker", "bar_start", "volume", "session", "transaction_count")
 
 
@@ -247,8 +246,7 @@ def _(i: Inputs) -> DataFrame:
     folder = work_dir(i.spark, "watchlist")
     tickers = i.table("events").select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("t"))
     tickers.select(F.array("t").alias("tickers")).write.json(folder)
-    listed = i.spark.read.schema("tickers array<string>").json(folder)
-    return listed.select(F.explode("tickers").alias("ticker")).distinct()
+    return S.require_watchlist(S.scan_watchlist(i.spark, folder, whole_files=False))
 
 
 # -- calendar and time functions ----------------------------------------------------------------

@@ -118,8 +118,10 @@ EXHIBIT_COLS = ["cik", "accession_number", "filing_date", "form_type", "item_cod
                 "exhibit_type", "description", "document_url", "match_reason"]
 
 
-def _exhibits(i: Inputs) -> DataFrame:
-    return O.exhibit_rows(i.filings, S.filing_documents(i.index_pages)).select(*EXHIBIT_COLS)
+def _exhibits(i: Inputs, filings: DataFrame | None = None) -> DataFrame:
+    wanted = O.candidate_filings(i.filings if filings is None else filings)
+    pages = O.texts_of(wanted, i.index_pages)
+    return O.exhibit_rows(wanted, S.filing_documents(pages)).select(*EXHIBIT_COLS)
 
 
 @query("exhibit_rows", f"SELECT {', '.join(EXHIBIT_COLS)} FROM exhibits")
@@ -293,10 +295,7 @@ def _(i: Inputs) -> DataFrame:
 @query("response_json_items", """
 SELECT k, CASE WHEN k % 5 = 4 THEN 0 ELSE 9 END AS items FROM filings""")
 def _(i: Inputs) -> DataFrame:
-    bare = F.regexp_replace("response", r"^```(?:json)?\s*|\s*```\s*$", "")
-    items = F.try_variant_get(F.try_parse_json(bare), "$", "array<variant>")
-    return _answers(i).select("k", F.coalesce(F.size(items), F.lit(0)).alias("n")).select(
-        "k", F.greatest("n", F.lit(0)).alias("items"))
+    return _answers(i).select("k", F.coalesce(F.size(O.response_items("response")), F.lit(0)).alias("items"))
 
 
 # -- issuers -------------------------------------------------------------------------------------
@@ -350,9 +349,7 @@ def _(i: Inputs) -> DataFrame:
     # One JSON document per record, keyed as the listing is; the last record of a ticker wins.
     docs = i.table("customer").select(
         k, s('{"', text(k), '":{"cik_str":', text(k), ',"ticker":"t', text(k % 400), '","title":"x"}}').alias("json"))
-    parsed = docs.select("c_custkey", F.from_json("json", "map<string, struct<cik_str: string, ticker: string, title: string>>").alias("m"))
-    records = parsed.select("c_custkey", F.explode("m").alias("id", "r")).select("c_custkey", "r.ticker", "r.cik_str")
-    return R.ticker_map_from_records(records, ["c_custkey"])
+    return R.build_ticker_map(docs, order_cols=["c_custkey"])
 
 
 @query("issuer_id_pad", """
@@ -419,9 +416,10 @@ SELECT t.ticker, u.* FROM tickers t JOIN ticker_map m ON m.ticker = upper(t.tick
 
 
 def _diagnostics(i: Inputs) -> DataFrame:
+    listed = lambda rows: O.of_issuers(rows, i.tickers, i.ticker_map)
     return O.warrant_diagnostics(
-        i.tickers, i.ticker_map, O.warrant_facts(i.fact_docs), O.shares_facts(i.fact_docs), _exhibits(i),
-        O.warrant_terms(i.filing_texts))
+        i.tickers, i.ticker_map, O.diagnostic_facts(listed(i.fact_docs)), None, _exhibits(i, listed(i.filings)),
+        O.warrant_terms(listed(i.filing_texts)))
 
 
 @query("warrant_diagnostics", _DIAG)

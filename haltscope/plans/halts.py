@@ -883,6 +883,15 @@ def _(i: Inputs) -> DataFrame:
     return Q.not_session_days(days, "trading_date", i.calendar).select("obs_id", "trading_date")
 
 
+@query("ingest_days_not_past", """
+SELECT obs_id, CAST(halt_start AS DATE) AS trading_date FROM halt_obs
+WHERE CAST(halt_start AS DATE) >= (SELECT max(CAST(halt_start AS DATE)) FROM halt_obs)""")
+def _(i: Inputs) -> DataFrame:
+    days = i.halt_obs.select("obs_id", F.to_date("halt_start").alias("trading_date"))
+    today = days.agg(F.max("trading_date")).scalar()
+    return Q.future_days(days, "trading_date", today)
+
+
 @query("feed_record_filter", """
 SELECT obs_id, symbol FROM halt_obs WHERE symbol IN (SELECT 'S' || s_suppkey FROM supplier)""")
 def _(i: Inputs) -> DataFrame:

@@ -26,16 +26,17 @@ def scan_flatfile_bars(
     path: str,
     calendar: DataFrame,
     provenance: dict[str, str] | None = None,
-    day_pattern: str = r"(\d{4}-\d{2}-\d{2})",
+    day_pattern: str = r".*(\d{4}-\d{2}-\d{2})",
 ) -> DataFrame:
-    """Flat files named by day -> bars in exchange-local time.
+    """Flat files, named by day or in folders named by day -> bars in exchange-local time.
 
+    The last day in a file's path counts.
     Rows of another day than their file's, rows on a day without a session and
     rows outside 04:00-20:00 are dropped. gz files are read one task per file.
     """
     rows = (
         spark.read.schema(FLATFILE_BAR).option("header", True).option("mode", "FAILFAST").csv(path)
-        .withColumn("_day", F.regexp_extract(F.col("_metadata.file_name"), day_pattern, 1).try_cast("date"))
+        .withColumn("_day", F.regexp_extract(F.col("_metadata.file_path"), day_pattern, 1).try_cast("date"))
     )
     return shape_flatfile_rows(rows, calendar, provenance)
 
@@ -66,9 +67,9 @@ def shape_flatfile_rows(rows: DataFrame, calendar: DataFrame, provenance: dict[s
     )
 
 
-def scan_watchlist(spark: SparkSession, path: str) -> DataFrame:
-    """{"tickers": [...]} -> distinct tickers."""
-    listed = spark.read.schema("tickers array<string>").option("multiLine", True).json(path)
+def scan_watchlist(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """{"tickers": [...]}, one per file or one per line -> distinct tickers."""
+    listed = spark.read.schema("tickers array<string>").option("multiLine", whole_files).json(path)
     return listed.select(F.explode("tickers").alias("ticker")).distinct()
 
 
