@@ -392,6 +392,6 @@ def collection_status(
     )
 
 
-def issuer_rows(table: DataFrame, cik: str, order: list[str]) -> DataFrame:
+def issuer_rows(table: DataFrame, cik: Column | str, order: list[str]) -> DataFrame:
     """Stored rows of one issuer in report order."""
     return table.filter(F.col("cik") == cik).orderBy(*order)

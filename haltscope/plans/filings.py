@@ -219,6 +219,37 @@ def _(i: Inputs) -> DataFrame:
     return O.reverse_splits(i.filing_texts).select(*SPLIT_COLS)
 
 
+@query("insert_new_terms", "SELECT DISTINCT cik, accession_number, kind, raw_snippet FROM terms WHERE kind <> 'exercise_price'")
+def _(i: Inputs) -> DataFrame:
+    found = O.warrant_terms(i.filing_texts).select(*M.TERM_KEY)
+    return M.new_rows(found.filter("kind = 'exercise_price'"), found.unionByName(found), M.TERM_KEY)
+
+
+@query("insert_new_splits", "SELECT DISTINCT cik, accession_number, raw_snippet FROM splits WHERE ratio_old % 2 <> 0")
+def _(i: Inputs) -> DataFrame:
+    found = O.reverse_splits(i.filing_texts).select(*SPLIT_COLS)
+    return M.new_rows(found.filter("ratio_old % 2 = 0"), found.unionByName(found), M.SPLIT_KEY).select(*M.SPLIT_KEY)
+
+
+def _of_first_issuer(rows: DataFrame, order: list[str]) -> DataFrame:
+    return O.issuer_rows(rows, rows.agg(F.min("cik")).scalar(), order)
+
+
+@query("exhibits_by_issuer", f"SELECT {', '.join(EXHIBIT_COLS)} FROM exhibits WHERE cik = (SELECT min(cik) FROM exhibits)")
+def _(i: Inputs) -> DataFrame:
+    return _of_first_issuer(_exhibits(i), ["filing_date", "exhibit_seq"])
+
+
+@query("terms_by_issuer", f"SELECT cik, {TERM_SQL} FROM terms WHERE cik = (SELECT min(cik) FROM terms)")
+def _(i: Inputs) -> DataFrame:
+    return _of_first_issuer(O.warrant_terms(i.filing_texts).select("cik", *TERM_COLS), ["accession_number", "kind"])
+
+
+@query("splits_by_issuer", f"SELECT {', '.join(SPLIT_COLS)} FROM splits WHERE cik = (SELECT min(cik) FROM splits)")
+def _(i: Inputs) -> DataFrame:
+    return _of_first_issuer(O.reverse_splits(i.filing_texts).select(*SPLIT_COLS), ["accession_number"])
+
+
 @query("split_domain_checks", """
 SELECT accession_number, 'ratio_not_positive' AS violation FROM splits WHERE ratio_old - 10 <= 0""")
 def _(i: Inputs) -> DataFrame:
@@ -328,6 +359,15 @@ def _(i: Inputs) -> DataFrame:
     return _resolved(i)
 
 
+@query("insert_new_resolutions", f"""
+SELECT DISTINCT ticker, DATE '2024-01-03' AS retrieved_at, resolution_method FROM ({_RESOLVED})""")
+def _(i: Inputs) -> DataFrame:
+    # Two runs over the same tickers; the first one's audit rows are stored already.
+    days = F.array(F.lit("2024-01-02").cast("date"), F.lit("2024-01-03").cast("date"))
+    runs = _resolved(i).select("ticker", F.explode(days).alias("retrieved_at"), "resolution_method")
+    return M.new_rows(runs.filter("retrieved_at = DATE '2024-01-02'"), runs, M.RESOLUTION_KEY)
+
+
 @query("resolved_ticker_map", f"""
 SELECT ticker, cik FROM ticker_map UNION SELECT upper(ticker) AS ticker, cik FROM ({_RESOLVED}) WHERE cik IS NOT NULL""")
 def _(i: Inputs) -> DataFrame:

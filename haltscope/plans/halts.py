@@ -918,7 +918,9 @@ SELECT strftime(observation_date, '%d/%m/%Y') AS "Date", ticker AS "Ticker", CAS
        CASE WHEN metric_7 IS NULL THEN 'N/A' ELSE regexp_replace(printf('%.2f', metric_7), '\\.?0+$', '') END AS "Metric 7"
 FROM metrics""")
 def _(i: Inputs) -> DataFrame:
-    return tables.batch_result_rows(_metrics(i))
+    folder = work_dir(i.spark, "batch-results")
+    tables.export_csv(tables.batch_result_rows(_metrics(i)), folder)
+    return i.spark.read.option("header", True).csv(folder)
 
 
 @query("export_csv_levels", """

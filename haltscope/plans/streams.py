@@ -107,6 +107,16 @@ def _(i: Inputs) -> DataFrame:
     return feeds.scan_halt_feed(i.spark, folder).select("symbol", "halt_start")
 
 
+@query("bad_feed_items", "SELECT count(DISTINCT event_type) AS rejects FROM events")
+def _(i: Inputs) -> DataFrame:
+    folder = work_dir(i.spark, "bad-items")
+    # A file per event type, of items whose elements do not close: the reader gives up a file at its first one.
+    e = F.col("event_id").cast("string")
+    bad = i.table("events").select("event_type", F.concat(F.lit("<item><ndaq:IssueSymbol>Z"), e, F.lit("</item>")).alias("value"))
+    bad.repartition("event_type").write.partitionBy("event_type").text(folder)
+    return feeds.bad_feed_items(i.spark, folder).agg(F.count(F.lit(1)).alias("rejects"))
+
+
 # -- streams -----------------------------------------------------------------------------------
 
 def _drain(stream: DataFrame, i: Inputs, label: str, mode: str = "append") -> DataFrame:

@@ -86,9 +86,11 @@ def scan_halt_feed(
 
 
 def bad_feed_items(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(source_file, text) of the items a tolerant scan skips."""
+    """(source_file, text) of what a tolerant scan skips; a broken item ends the reading of its file."""
     items = read_items(spark, path, glob)
-    return items.filter(F.col(CORRUPT).isNotNull()).select(
+    # A scan of the rejected text alone is refused, so the condition reads a parsed field too.
+    shown = F.length(F.concat_ws("", CORRUPT, items.columns[0]))
+    return items.filter(F.col(CORRUPT).isNotNull() & (shown > 0)).select(
         F.col("_file").alias("source_file"), F.col(CORRUPT).alias("text")
     )
 
