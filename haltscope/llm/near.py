@@ -9,7 +9,11 @@ share a band key are candidates:
   bands with the most others. A group of copies of one text is so tied to it
   with one pair per node and band, whatever the size of the group;
 * then, until a round finds no new link, each bucket that still holds several
-  components gets its next hub from outside the component of the first.
+  components gets its next hub from outside the component of the first;
+* the members of buckets that hold several components even then are joined on the
+  shingles of their prefixes. Shingles have one order for all, rare ones first;
+  two sets as similar as the threshold share one of the first n - threshold * n + 1
+  of each. This finds every similar pair among them, with no limit on a bucket.
 
 Candidates whose collision-corrected similarity, estimated from the bits that
 agree, is within reach of the threshold are confirmed on the full sets.
@@ -32,6 +36,8 @@ BITS = 4
 #: Standard errors below the threshold at which an estimate still counts as within reach.
 REACH = 4.5
 BLOCK = 8192
+# Counters by which shingles are called rare; two that share one only get a less useful order.
+COUNTERS = 1 << 18
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.empty(0, np.uint64)
@@ -145,6 +151,53 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return found.select("node", "shingles").dropDuplicates(["node"])
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (_mix(shingles.view(np.uint64) * _M1) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _flat(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many of the sets have a shingle, by the counter of the shingle."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slots(_flat(batch.column("shingles"))), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, root, n, at, shingle): the shingles of (node, root, shingles) of which two similar sets share one."""
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def run(batches):
+        for batch in batches:
+            shingles = _flat(batch.column("shingles"))
+            sizes = np.asarray(batch.column("shingles").value_lengths(), np.int64)
+            parts = [_EMPTY.view(np.int64)]
+            for end, n in zip(np.cumsum(sizes), sizes, strict=True):
+                own = shingles[end - n:end]
+                parts.append(own[np.lexsort((own, counts.value[_slots(own)]))[:n - (threshold * n + 99) // 100 + 1]])
+            taken = np.array([len(x) for x in parts[1:]], np.int64)
+            at = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+            row = pa.array(np.repeat(np.arange(len(taken)), taken))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(row), batch.column("root").take(row), pa.array(np.repeat(sizes, taken)), pa.array(at),
+                 pa.array(np.concatenate(parts))], ["node", "root", "n", "at", "shingle"])
+
+    return sets.select("node", "root", "shingles").mapInArrow(run, "node long, root long, n long, at long, shingle long")
+
+
 def similarity(left, right, functions: int, bits: int = BITS):
     """Collision-corrected similarity of two packed signatures: (share of equal low bits - 2^-bits) / (1 - 2^-bits)."""
     ones = int("".join(["0" * (bits - 1) + "1"] * (64 // bits)), 2)
@@ -226,7 +279,7 @@ class NearCopies:
         edges = self._confirmed(star.unionByName(few.select("a", "b")).distinct())
         while True:
             roots = connected(edges)
-            placed = self.members.join(roots, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
+            placed = self.members.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
             placed = stored(placed, "near-placed")
             first = placed.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"]).select("key", F.col("root").alias("first"))
             # Large buckets with a second component: its hub meets all of the others.
@@ -237,8 +290,31 @@ class NearCopies:
             pairs = placed.join(from_hub, "key").filter("root != own").select(*pair).distinct()
             new = self._confirmed(pairs)
             if new.isEmpty():
-                return roots, edges
+                break
             edges = stored(edges.unionByName(new), "near-edges")
+        rest = self._confirmed(self._prefix_pairs(placed))
+        if rest.isEmpty():
+            return roots, edges
+        edges = stored(edges.unionByName(rest), "near-edges")
+        return connected(edges), edges
+
+    def _prefix_pairs(self, placed: DataFrame) -> DataFrame:
+        """Pairs (a, b) that can be similar, among the members of buckets (key, node, root, size) with more than one component."""
+        several = placed.filter(F.col("size") > SMALL).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        nodes = placed.join(several, "key", "left_semi").select("node", "root").distinct()
+        rows = stored(prefixes(self.sets.join(nodes, "node"), self.threshold), "near-prefixes")
+        # The largest component of a shingle is not joined with itself.
+        parts = rows.groupBy("shingle", "root").agg(F.count("*").alias("size"))
+        parts = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("most"))
+        shared = stored(rows.join(parts.filter("parts > 1").drop("parts"), "shingle"), "near-shared")
+        one = shared.filter("root != most").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "at")])
+        two = shared.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "at")])
+        t, sizes = self.threshold, F.col("n1") + F.col("n2")
+        # The first shared shingle and all that follow it have to be enough.
+        most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+        near = (one["shingle"] == two["shingle"]) & (F.col("root1") != F.col("root2")) & (100 * F.least("n1", "n2") >= t * F.greatest("n1", "n2"))
+        near &= (100 + t) * most >= t * sizes
+        return one.join(two, near).select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
 
     def report(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, kept."""

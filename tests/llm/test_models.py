@@ -96,6 +96,19 @@ def test_near_copies(spark, size, threshold, options):
     assert got == components(texts, size, threshold)
 
 
+def test_near_form_letters(spark):
+    """Letters that share most buckets, large ones, with letters of many other components."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randint(0, 50000)}" for _ in range(n)]
+    fixed, choices = [fresh(20) for _ in range(10)], [[fresh(6) for _ in range(3)] for _ in range(10)]
+    texts = {d: " ".join(sum((f + rng.choice(c) for f, c in zip(fixed, choices, strict=True)), [])) for d in range(400)}
+    want = components(texts, 3, 85)
+    assert 50 < len({c for _, c in want.values()}) < 350
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_copies(df).collect()}
+    assert got == want
+
+
 def test_near_odd_rows(odd, nothing):
     rows = near.near_copies(odd).collect()
     assert len(rows) == odd.count()
