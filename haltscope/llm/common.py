@@ -23,6 +23,25 @@ def without_space(text: Column) -> Column:
     return text
 
 
+# Names a row of a table that ``keyed`` has written; ``doc_id`` may be null or repeated.
+ROW = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key each. Written once, so that every later read finds the same keys."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """Keyed rows with a ``doc_id`` of their own each, in the order of ``doc_id`` (null last), then of the key."""
+    return docs.withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Keyed rows whose key is not in ``gone`` (_gone), without their keys."""
+    return docs.join(gone, F.col(ROW) == F.col("_gone"), "left_anti").drop(ROW)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark: SparkSession = df.sparkSession

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from haltscope.llm.common import stored, without_space
+from haltscope.llm.common import by_row, keyed, stored, without_rows, without_space
 
 FIRST_DIGIT = 64
 DIGIT_GROWTH = 16
@@ -69,6 +69,7 @@ def exact_groups(docs: DataFrame, first_digit: int = FIRST_DIGIT, digit_growth:
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns; ``doc_id`` is to be unique."""
-    gone = exact_groups(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows that stay, one of each group, with all their columns; a ``doc_id`` may be null or repeated."""
+    rows = keyed(docs)
+    gone = exact_groups(by_row(rows), **options).filter("not kept").select(F.col("doc_id.row").alias("_gone"))
+    return without_rows(rows, gone)

@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from haltscope.llm.common import stored, words_in
+from haltscope.llm.common import ROW, keyed, stored, words_in
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -71,7 +71,7 @@ def _after_chunks(rows: DataFrame, key: str, chunk: str, size: Column, out: str)
 
 
 class Mixture:
-    """The mix of a table (doc_id, source, size) with one row per document.
+    """The mix of a table (doc_id, source, size) with one row per document; a row key, if there is one, stays with its row.
 
     ``rows``: documents with their place [start, end) on the line of their source.
     ``slots``: source number, slot, block, epoch.
@@ -79,7 +79,8 @@ class Mixture:
 
     def __init__(self, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, blocks: int = BLOCKS):
         spark = sized.sparkSession
-        sized = stored(sized.select("doc_id", "source", "size"), "mix-sizes")
+        self.ids = ["doc_id", *[c for c in sized.columns if c == ROW]]
+        sized = stored(sized.select(*self.ids, "source", "size"), "mix-sizes")
         sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = stored(source_targets(sizes, weights, share, limit), "mix-targets")
         words, wanted = self.targets.agg(F.sum("source_size"), F.sum("target")).first()
@@ -87,9 +88,9 @@ class Mixture:
         n_slots = math.ceil((wanted or 0) / self.block)
 
         named = sized.join(self.targets, sized["source"].eqNullSafe(self.targets["source"])).select(
-            sized["doc_id"], sized["source"], sized["size"], "idx", "source_size", "target"
+            *[sized[c] for c in self.ids], sized["source"], sized["size"], "idx", "source_size", "target"
         ).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("h", 1, 3))
-        inside = Window.partitionBy("idx", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy("idx", "part").orderBy("h", "doc_id", "size", *self.ids[1:]).rowsBetween(Window.unboundedPreceding, 0)
         self.rows = (
             named.join(_after_chunks(named, "idx", "part", F.col("size"), "_before"), ["idx", "part"])
             .withColumn("end", F.col("_before") + F.sum("size").over(inside))
@@ -143,11 +144,11 @@ class Mixture:
         return some.unionByName(own.filter("size = 0")).select("doc_id", "size", "source_size", "target", "taken")
 
     def copies(self) -> DataFrame:
-        """(doc_id, copies): how often the slots draw the middle word of a document."""
+        """(doc_id, row key if there is one, copies): how often the slots draw the middle word of a document."""
         middle = F.floor((F.col("start") + F.floor(F.col("size") / 2)) / F.lit(self.block))
         return (
             self.rows.filter("size > 0").withColumn("block", middle)
-            .join(self.slots, ["idx", "block"]).groupBy("doc_id").agg(F.count("*").alias("copies"))
+            .join(self.slots, ["idx", "block"]).groupBy(*self.ids).agg(F.count("*").alias("copies"))
         )
 
 
@@ -168,8 +169,9 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as the mix draws its middle word.
 
-    Same columns as ``docs``; ``doc_id`` is to be unique. Documents without words are not drawn.
+    Same columns as ``docs``; a ``doc_id`` may be null or repeated. Documents without words are not drawn.
     """
-    copies = Mixture(sized_documents(docs), **options).copies().withColumnRenamed("doc_id", "_drawn_id")
-    drawn = docs.join(copies, F.col("doc_id") == F.col("_drawn_id"))
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[drawn[c] for c in docs.columns])
+    rows = keyed(docs)
+    copies = Mixture(rows.select("doc_id", "source", words_in("text").alias("size"), ROW), **options).copies()
+    drawn = rows.join(copies.select(F.col(ROW).alias("_drawn"), F.col("copies").alias("_copies")), F.col(ROW) == F.col("_drawn"))
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[drawn[c] for c in docs.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from haltscope.llm.common import stored
+from haltscope.llm.common import by_row, keyed, stored, without_rows
 
 BANDS, ROWS = 26, 6
 SMALL = 8
@@ -340,6 +340,7 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all its columns; ``doc_id`` is to be unique."""
-    gone = near_copies(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component, with all its columns; a ``doc_id`` may be null or repeated."""
+    rows = keyed(docs)
+    gone = near_copies(by_row(rows), **options).filter("not kept").select(F.col("doc_id.row").alias("_gone"))
+    return without_rows(rows, gone)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from haltscope.llm.common import stored
+from haltscope.llm.common import ROW, keyed, stored, without_rows
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -222,6 +222,7 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, **options) -> DataFra
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with all their columns; ``doc_id`` is to be unique."""
-    bad = judge_quality(docs, **options).filter("not kept").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows that pass, with all their columns; a ``doc_id`` may be null or repeated."""
+    rows = keyed(docs)
+    bad = judge_quality(rows.withColumn("doc_id", F.col(ROW)), **options).filter("not kept").select(F.col("doc_id").alias("_gone"))
+    return without_rows(rows, bad)

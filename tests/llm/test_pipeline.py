@@ -6,7 +6,7 @@ import pytest
 from test_models import components
 
 import corpus_pipeline
-from haltscope.llm import mixing, quality
+from haltscope.llm import exact, mixing, near, quality
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -42,3 +42,33 @@ def test_stages(spark):
         seen.append(len(after))
         docs = out
     assert corpus_pipeline.run(spark, SF).count() == seen[-1]
+
+
+def document(doc_id, text):
+    return (doc_id, text, "en", "a", len(text), 7, 7, "x", "x", "x", 7, "x", "x")
+
+
+def test_stages_decide_by_row(spark, odd):
+    """Of repeated rows one stays; null ids are judged like others."""
+    seen = [(r.doc_id, r.text) for r in odd.collect()]
+    groups = {}
+    for d, text in seen:
+        groups.setdefault("".join((text or "").split()), []).append((-len(text or ""), d is None, d or 0, d, text))
+    want = [min(g)[3:] for g in groups.values()]
+    by_text = lambda rows: sorted((str(d), text or "") for d, text in rows)
+    assert by_text((r.doc_id, r.text) for r in exact.drop_copies(odd).collect()) == by_text(want)
+
+    more = [document(None, "hi"), document(None, "hi"), document(9, "Hi you there"), document(12, "hi")]
+    rows = odd.unionByName(spark.createDataFrame(more, odd.schema))
+    got = [(r.doc_id, r.text) for r in near.drop_near_copies(rows, words=5, threshold=80).collect()]
+    assert sorted((d, text) for d, text in got if text and "i" in text.lower() and len(text) < 20) == [(9, "Hi"), (9, "Hi you there"), (10, "hi ☃ é")]
+    assert sum(d is None for d, _ in got) == 1
+
+    good = " ".join(f"word{i}" for i in range(60))
+    texts = spark.createDataFrame([document(1, good), document(1, "bad"), document(None, good), document(None, "bad")], odd.schema)
+    assert sorted(str(r.doc_id) for r in quality.keep_good(texts).collect()) == ["1", "None"]
+
+    words = spark.createDataFrame([document(None, good), document(7, good), document(7, good), document(7, "x y")], odd.schema)
+    mixed = mixing.mix_documents(words).collect()
+    assert 1 <= sum(r.doc_id is None for r in mixed) <= 2
+    assert sum(r.text == good for r in mixed) <= 6 and sum(r.text == "x y" for r in mixed) <= 2
