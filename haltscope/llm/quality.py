@@ -27,8 +27,9 @@ SUBSET = 0.75
 STEPS = 4
 MIN_ROWS = 200
 # Squared distance beyond which a text is an outlier, once distances are scaled
-# so that their median is that of a chi-square variable.
-CUTOFF = 75.0
+# so that their median is that of a chi-square variable. Fixed value: the 0.9999
+# quantile of one with seven degrees of freedom.
+CUTOFF = 29.878
 # Spread that each entry is given at least: most ratios are zero in most texts.
 FLOOR = (0.04, 0.05, 0.05, 0.05, 0.05, 0.15, 0.15)
 FEATURES = ("word_length", "symbols", "upper", "digits", "punctuation", "dup_lines", "repeats")

@@ -72,3 +72,14 @@ def test_stages_decide_by_row(spark, odd):
     mixed = mixing.mix_documents(words).collect()
     assert 1 <= sum(r.doc_id is None for r in mixed) <= 2
     assert sum(r.text == good for r in mixed) <= 6 and sum(r.text == "x y" for r in mixed) <= 2
+
+
+def test_quality_cutoff_on_labels(spark):
+    """Labelled debris is rejected, and few good documents beyond the base rules."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality.judge_quality(docs).join(labels, "doc_id").select("quality", "base_failed", "kept").collect()
+    bad = [r for r in rows if r.quality == 0]
+    good = [r for r in rows if r.quality == 1 and not r.base_failed]
+    assert sum(not r.kept for r in bad) >= 0.95 * len(bad) > 0
+    assert sum(r.kept for r in good) >= 0.98 * len(good) > 0
