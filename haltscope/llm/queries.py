@@ -233,3 +233,34 @@ def op11_merkle_manifest(spark, sf_dir):
     from haltscope.llm.merkle import manifest_report
 
     return manifest_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id AS c, turn, length(coalesce(text, '')) AS chars,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(struct_pack(id := id, chars := chars) ORDER BY turn NULLS FIRST, id) AS l, {crc32_sql("c")} % 6 AS h FROM t GROUP BY c),
+s AS (SELECT o.c, list_concat(coalesce(b.l, [])[1:o.h], o.l[o.h + 1:]) AS l FROM o LEFT JOIN o b ON b.c = o.c - o.c % 100),
+p AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM s),
+k AS (SELECT c, d, len(l) = d AS ended, array_to_string([x.id FOR x IN l[1:d]], '') AS node, CASE WHEN d > 0 THEN l[d].chars ELSE 0 END AS chars FROM p),
+n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256 FROM k GROUP BY node, d),
+f AS (SELECT left(node, 64 * (d - 1)) AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(f.n_children, 0) AS n_children
+      FROM n LEFT JOIN n p ON n.d > 0 AND p.d = n.d - 1 AND p.node = left(n.node, 64 * (n.d - 1)) LEFT JOIN f ON f.node = n.node),
+a AS (SELECT left(node, 64 * j) AS node, n_convs, n_children, chars FROM (SELECT *, unnest(range(d + 1)) AS j FROM m)),
+u AS (SELECT node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM a GROUP BY node)
+SELECT m.conv_id, m.d AS depth, m.parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, m.ends_sha256 FROM m JOIN u ON u.node = m.node
+""")
+def op12_prefix_trie(spark, sf_dir):
+    from haltscope.llm.trie import trie_report
+
+    return trie_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_find_personal")
+def op13_find_personal(spark, sf_dir):
+    from haltscope.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
