@@ -4,7 +4,9 @@ The documents of a source are put in hashed order on one line of words, and the
 line is cut into blocks of equally many words. Slots are numbered; the golden
 ratio gives every slot a point of the unit interval, which the cumulative target
 weights map to a source. The k-th slot of a source takes its k-th block, and
-starts over when all blocks are taken. DataFrame operations only.
+starts over when all blocks are taken. A source gets as many slots as its target
+has blocks: the few that its points miss are added at the end, and those too
+many are left out. DataFrame operations only.
 
 No window spans a whole source: running sums and ranks are taken inside small
 chunks and shifted by the totals of the chunks before. What is ranked over a
@@ -13,8 +15,6 @@ source as a whole is one row per chunk.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haltscope.llm.common import ROW, keyed, stored, words_in
@@ -22,9 +22,9 @@ from haltscope.llm.common import ROW, keyed, stored, words_in
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2
-# The line of all words is cut into about this many blocks, so the schedule has
-# the same length at every size of the corpus.
-BLOCKS = 1 << 20
+# Words of a block, at every size of the corpus; a source that has fewer than
+# PARTS such blocks is cut into PARTS smaller ones.
+BLOCK, PARTS = 1024, 64
 
 # 2^32 divided by the golden ratio, and 2^32. Slot i has the point
 # frac(i * STEP / RANGE), computed in whole numbers.
@@ -33,8 +33,11 @@ CELL = 4096
 CHUNK = 4096
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
-    """Words to take of each source.
+def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
+    """Words to take of each source, the words of its blocks, and the slots that its target asks for.
+
+    Whole sources are compared here, in one task: ``sizes`` is to have at most a
+    few million rows.
 
     ``sizes`` has a row (source, source_size) per source. Sources in code-point
     order, null last, get the weights in turn; together they get ``share`` times
@@ -55,12 +58,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limi
     level = F.max((total - before) / rest).over(everything)
     out = ranked.withColumn("_total", total).withColumn("_level", (F.col("_total") - before) / rest)
     out = out.withColumn("target", F.least("cap", F.max("_level").over(everything) * F.col("w")))
+    words = F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("source_size") / F.lit(PARTS)))).cast("long")
+    out = out.withColumn("block_words", words).withColumn("_slots", F.col("target") / F.col("block_words"))
     upto = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.sum("target").over(upto) / F.nullif(F.sum("target").over(everything), F.lit(0.0))
+    part = F.sum("_slots").over(upto) / F.nullif(F.sum("_slots").over(everything), F.lit(0.0))
     # The source's share [lo, hi) of the points, in whole numbers.
     out = out.withColumn("hi", F.round(part * F.lit(float(RANGE))).cast("long"))
     out = out.withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("idx")))
-    return out.select("source", "idx", "source_size", "w", "target", "lo", "hi")
+    return out.select("source", "idx", "source_size", "w", "target", "block_words", F.round("_slots").cast("long").alias("n_slots"), "lo", "hi")
 
 
 def _after_chunks(rows: DataFrame, key: str, chunk: str, size: Column, out: str) -> DataFrame:
@@ -77,18 +82,16 @@ class Mixture:
     ``slots``: source number, slot, block, epoch.
     """
 
-    def __init__(self, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, blocks: int = BLOCKS):
+    def __init__(self, sized: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK):
         spark = sized.sparkSession
         self.ids = ["doc_id", *[c for c in sized.columns if c == ROW]]
         sized = stored(sized.select(*self.ids, "source", "size"), "mix-sizes")
         sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-        self.targets = stored(source_targets(sizes, weights, share, limit), "mix-targets")
-        words, wanted = self.targets.agg(F.sum("source_size"), F.sum("target")).first()
-        self.block = max(1, -(-int(words or 0) // blocks))
-        n_slots = math.ceil((wanted or 0) / self.block)
+        self.targets = stored(source_targets(sizes, weights, share, limit, block), "mix-targets")
+        n_slots, n_sources = self.targets.agg(F.coalesce(F.sum("n_slots"), F.lit(0)), F.count("*")).first()
 
         named = sized.join(self.targets, sized["source"].eqNullSafe(self.targets["source"])).select(
-            *[sized[c] for c in self.ids], sized["source"], sized["size"], "idx", "source_size", "target"
+            *[sized[c] for c in self.ids], sized["source"], sized["size"], "idx", "source_size", "target", "block_words"
         ).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("h", 1, 3))
         inside = Window.partitionBy("idx", "part").orderBy("h", "doc_id", "size", *self.ids[1:]).rowsBetween(Window.unboundedPreceding, 0)
         self.rows = (
@@ -106,22 +109,27 @@ class Mixture:
             spark.range(n_slots).withColumn("p", point).withColumn("cell", cell(F.col("p")))
             .join(spans, "cell").filter("p >= lo and p < hi")
             .withColumn("chunk", F.floor(i / F.lit(CHUNK)))
-            .withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(self.block)))
-            .select("id", "idx", "chunk", "n_blocks")
+            .select("id", "idx", "chunk")
         )
         within = F.row_number().over(Window.partitionBy("idx", "chunk").orderBy("id")) - 1
+        ranked = drawn.join(_after_chunks(drawn, "idx", "chunk", F.lit(1), "_before"), ["idx", "chunk"]).select(
+            "idx", F.col("id").alias("slot"), (F.col("_before") + within).cast("long").alias("k"))
+        # The points of a source differ from its share by a few slots.
+        got = drawn.groupBy("idx").agg(F.count("*").alias("_got"))
+        missing = self.targets.join(got, "idx", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).filter("_got < n_slots")
+        missing = missing.withColumn("k", F.explode(F.sequence(F.col("_got"), F.col("n_slots") - 1))).select(
+            "idx", (F.lit(n_slots) + F.col("k") * F.lit(n_sources) + F.col("idx")).alias("slot"), "k")
+        n_blocks = F.ceil(F.col("source_size") / F.col("block_words"))
+        each = self.targets.select("idx", "n_slots", n_blocks.alias("n_blocks"))
         k = F.col("k")
         self.slots = (
-            drawn.join(_after_chunks(drawn, "idx", "chunk", F.lit(1), "_before"), ["idx", "chunk"])
-            .withColumn("k", F.col("_before") + within)
-            # A source whose target is its limit may draw a slot more than it has blocks for.
-            .filter(k < F.col("n_blocks") * F.lit(limit))
-            .select("idx", F.col("id").alias("slot"), (k % F.col("n_blocks")).alias("block"), F.floor(k / F.col("n_blocks")).alias("epoch"))
+            ranked.unionByName(missing).join(each, "idx").filter((k < F.col("n_slots")) & (k < F.col("n_blocks") * F.lit(limit)))
+            .select("idx", "slot", (k % F.col("n_blocks")).alias("block"), F.floor(k / F.col("n_blocks")).alias("epoch"))
         )
 
     def schedule(self) -> DataFrame:
         """What each slot reads: (slot, source, doc_id, first_word, words), epochs included."""
-        b = F.lit(self.block)
+        b = F.col("block_words")
         of_block = self.rows.filter("size > 0").withColumn(
             "block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("end") - 1) / b)))
         )
@@ -145,7 +153,7 @@ class Mixture:
 
     def copies(self) -> DataFrame:
         """(doc_id, row key if there is one, copies): how often the slots draw the middle word of a document."""
-        middle = F.floor((F.col("start") + F.floor(F.col("size") / 2)) / F.lit(self.block))
+        middle = F.floor((F.col("start") + F.floor(F.col("size") / 2)) / F.col("block_words"))
         return (
             self.rows.filter("size > 0").withColumn("block", middle)
             .join(self.slots, ["idx", "block"]).groupBy(*self.ids).agg(F.count("*").alias("copies"))

@@ -37,18 +37,11 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECED
              / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
       FROM w WINDOW o AS (ORDER BY cap / w, idx)),
 t AS (SELECT source, idx, source_size, least(cap, max(lev) OVER () * w) AS target FROM l),
-a AS (SELECT *, CAST(round(sum(target) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING)
-             / nullif(sum(target) OVER (), 0) * 4294967296.0::DOUBLE) AS BIGINT) AS hi FROM t),
-b AS (SELECT *, lag(hi, 1, 0) OVER (ORDER BY idx) AS lo FROM a),
-g AS (SELECT sum(target) AS wanted, CAST(greatest(1, ceil(sum(source_size) / 1048576.0::DOUBLE)) AS BIGINT) AS blk FROM b),
-r AS (SELECT d.doc_id, b.idx, b.source_size, b.target, d.size, g.blk,
+b AS (SELECT *, greatest(1, least(1024, CAST(ceil(source_size / 64.0::DOUBLE) AS BIGINT))) AS blk FROM t),
+r AS (SELECT d.doc_id, b.idx, b.source_size, b.target, d.size, b.blk,
              sum(d.size) OVER (PARTITION BY b.idx ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS fin
-      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source, g),
-p AS (SELECT i, (i * 2654435769) % 4294967296 AS p, g.blk
-      FROM g, LATERAL (SELECT unnest(range(CAST(ceil(g.wanted / g.blk) AS BIGINT))) AS i)),
-k AS (SELECT b.idx, row_number() OVER (PARTITION BY b.idx ORDER BY i) - 1 AS k,
-             CAST(ceil(b.source_size / CAST(p.blk AS DOUBLE)) AS BIGINT) AS n_blocks
-      FROM p JOIN b ON p.p >= b.lo AND p.p < b.hi),
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+k AS (SELECT idx, CAST(ceil(source_size / CAST(blk AS DOUBLE)) AS BIGINT) AS n_blocks, unnest(range(CAST(round(target / blk) AS BIGINT))) AS k FROM b),
 q AS (SELECT idx, k % n_blocks AS block, count(*) AS draws FROM k WHERE k < 2 * n_blocks GROUP BY ALL),
 x AS (SELECT *, fin - size AS ini, unnest(range(CAST((fin - size) // blk AS BIGINT), CAST((fin - 1) // blk AS BIGINT) + 1)) AS block
       FROM r WHERE size > 0),

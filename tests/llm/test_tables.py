@@ -132,3 +132,14 @@ def test_exact_edges(odd, nothing, spark):
     assert {r.group_size for r in got} == {10} and sum(r.kept for r in got) == 4
     kept = drop_copies(odd.filter("doc_id < 9"))
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [3, 6, 7, 8]
+
+
+def test_tiny_sources_beside_huge_ones(spark):
+    """A source far smaller than a block of the others comes near its target, too."""
+    rows = [(i, f"tiny{i % 12:02d}", 100) for i in range(120)] + [(1000 + i, "huge", 10_000_000) for i in range(50)]
+    mix = Mixture(spark.createDataFrame(rows, "doc_id long, source string, size long"))
+    got = mix.taken().join(spark.createDataFrame(rows, "doc_id long, source string, n long").select("doc_id", "source"), "doc_id")
+    got = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert len(got) == 13
+    for r in got:
+        assert abs(r.taken - r.target) <= 0.03 * r.target and r.most <= 2
