@@ -117,7 +117,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketch(docs: DataFrame, words: int, sketcher: Sketcher) -> DataFrame:
-    """doc_id, node, n_shingles, keys, signature; node, keys and signature are null without words."""
+    """doc_id, mark, node, n_shingles, keys, signature; node, keys and signature are null without words.
+
+    ``mark`` is a hash of the text: with ``doc_id`` it finds a row again, also where ids are null or repeated.
+    """
 
     def run(batches):
         for batch in batches:
@@ -128,11 +131,11 @@ def sketch(docs: DataFrame, words: int, sketcher: Sketcher) -> DataFrame:
                 node.append(_node(s) if len(s) else None)
                 keys.append(_EMPTY.view(np.int64) if m is None else sketcher.keys(m))
                 bits.append(_EMPTY.view(np.int64) if m is None else sketcher.signature(m))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(keys), _lists(bits)],
-                                             ["doc_id", "node", "n_shingles", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(keys), _lists(bits)],
+                                             ["doc_id", "mark", "node", "n_shingles", "keys", "signature"])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, n_shingles long, keys array<long>, signature array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, mark long, node long, n_shingles long, keys array<long>, signature array<long>")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -145,8 +148,9 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 [batch.column("node"), pa.array([_node(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets])],
                 ["node", "found", "shingles"])
 
-    wanted = nodes.select(F.col("doc_id").alias("_doc"), "node")
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_doc")).select("node", "text")
+    wanted = nodes.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "node")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
+    rows = docs.select("doc_id", "text").join(wanted, same).select("node", "text")
     found = rows.mapInArrow(run, "node long, found long, shingles array<long>").filter("node = found")
     return found.select("node", "shingles").dropDuplicates(["node"])
 
@@ -242,14 +246,14 @@ class NearCopies:
         self.docs = stored(sketch(docs, words, Sketcher(bands, rows)), "near-sketch")
         known = self.docs.filter(F.col("node").isNotNull())
         nodes = known.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.any_value("signature").alias("signature"))
-        nodes = stored(nodes, "near-nodes")
+            F.min(F.struct("doc_id", "mark")).alias("row"), F.max("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.any_value("signature").alias("signature"))
+        nodes = stored(nodes.select("node", "row.*", "n", "keys", "signature"), "near-nodes")
         buckets = nodes.select("node", F.explode("keys").alias("key"))
         shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
         members = stored(buckets.join(shared, "key"), "near-buckets")
         weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
         self.members = stored(members.join(weight, "node"), "near-members")
-        some = stored(nodes.join(weight, "node").select("node", "doc_id", "n", "signature"), "near-some")
+        some = stored(nodes.join(weight, "node").select("node", "doc_id", "mark", "n", "signature"), "near-some")
         self.nodes = some.select("node", "n", "signature")
         self.sets = stored(_full_sets(docs, some, words), "near-sets")
         self.roots, self.edges = self._link()
@@ -333,8 +337,9 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
     Texts are lower-cased in A-Z. A text with fewer words than a shingle has one
     of all its words; one without words (or a null text) has none and is linked
     with nothing. Repeated rows share their component; of rows with the smallest
-    ``doc_id`` of a component all count as kept. Other columns are ignored; an
-    empty table gives no rows.
+    ``doc_id`` of a component all count as kept. A row without ``doc_id`` is linked
+    like any other; it is never the smallest, and kept only where all rows of its
+    component have none. Other columns are ignored; an empty table gives no rows.
     """
     return NearCopies(docs, **options).report()
 
