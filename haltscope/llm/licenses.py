@@ -115,6 +115,7 @@ def scan_text(text: bytes) -> dict:
     words = text.translate(_WORDS).split()
     line = f" {b' '.join(words).decode('latin-1')} "
     starts, base, labels, free, tagged = [], set(), set(), [], False
+    seen = blanks = 0
     for end, phrase in automaton().iter(line):
         if phrase == TAG:
             tagged = True
@@ -124,7 +125,9 @@ def scan_text(text: bytes) -> dict:
         free.append(FREEDOM.get(label, UNKNOWN))
         if phrase in BASE:
             base.add(label)
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            # Hits come in the order of their ends, so blanks are counted once.
+            blanks, seen = blanks + line.count(" ", seen, end), end
+            starts.append(blanks - phrase.count(" ") - 1)
     expressions = []
     for match in _TAG_LINE.finditer(text) if tagged else ():
         if result := evaluate(match[1].decode("utf-8", "replace")):

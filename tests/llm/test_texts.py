@@ -167,3 +167,9 @@ def test_toxicity_odd_rows(spark, odd, nothing):
         rows = toxicity.score_toxicity(odd, model).collect()
         assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score_toxicity(nothing, model).count() == 0
+
+
+def test_license_places_in_a_text_full_of_them():
+    n = 200_000  # hours if every hit looked at the text from its start
+    found = licenses.scan_text(b"x cc by nc " * n)
+    assert (found["n_base"], found["first_word"], found["last_word"]) == (n, 1, 4 * n - 3)
