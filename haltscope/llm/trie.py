@@ -205,7 +205,7 @@ def prefix_trie(conversations: DataFrame, limit: int = LIMIT) -> DataFrame:
     turns = seqs.agg(F.sum(F.size("chars"))).first()[0]
     limit = max(limit, (turns or 0) // BURSTS)
     length = F.size("chars")
-    opened = seqs.select("ids", "chars", "n", "first", "ends", F.lit(_NONE).alias("box"), F.lit(None).cast("long").alias("up"), F.array().cast("array<string>").alias("path"))
+    opened = seqs.select("ids", "chars", "n", "first", "ends", F.sha2(F.substring("ids", 1, 0), 256).alias("box"), F.lit(None).cast("long").alias("up"), F.array().cast("array<string>").alias("path"))
     closed, heads, depth = [], [], 0
     while True:
         sizes = opened.groupBy("box").agg(F.sum(length - depth).alias("turns"), F.count("*").alias("seqs"))
