@@ -136,6 +136,43 @@ def episode_membership(obs: DataFrame, chunk_unit: str = DEFAULT_CHUNK) -> DataF
     )
 
 
+def episodes_of(members: DataFrame, order_cols: list[str], market_close: str = "16:00:00") -> DataFrame:
+    """The episodes of :func:`halt_episodes` from rows that :func:`episode_membership` has labelled, and ``last_start``.
+
+    One aggregate: nothing is ordered again.
+    """
+    end = valid_end("halt_start", "halt_end")
+    seen = F.struct("halt_start", F.coalesce(end, F.col("halt_start")), *order_cols)
+
+    def first_known(col: str) -> Column:
+        return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), seen))
+
+    grouped = members.groupBy("symbol", F.col("episode_market").alias("market"), F.col("episode_start").alias("halt_start")).agg(
+        F.max(end).alias("halt_end"),
+        F.array_sort(F.collect_set("reason_code")).alias("reason_codes"),
+        first_known("issue_name").alias("issue_name"),
+        first_known("pause_threshold_price").alias("pause_threshold_price"),
+        F.count(F.lit(1)).alias("observation_count"),
+        F.count_if(F.col("halt_end") < F.col("halt_start")).alias("invalid_end_count"),
+        F.max(F.col("halt_start")).alias("last_start"),
+    )
+    return grouped.select(
+        "symbol",
+        "market",
+        "halt_start",
+        "halt_end",
+        "issue_name",
+        F.when(F.size("reason_codes") == 1, F.element_at("reason_codes", 1)).alias("reason_code"),
+        "reason_codes",
+        "pause_threshold_price",
+        duration_minutes("halt_start", "halt_end").alias("duration_minutes"),
+        close_status("halt_start", "halt_end", market_close).alias("halt_close_status"),
+        "observation_count",
+        "invalid_end_count",
+        "last_start",
+    )
+
+
 def episode_links(obs: DataFrame, id_col: str, chunk_unit: str = DEFAULT_CHUNK) -> DataFrame:
     """Distinct (symbol, market, halt_start, raw id) pairs: which raw rows made which episode."""
     return (

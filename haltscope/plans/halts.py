@@ -387,7 +387,7 @@ SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.market, n.market) AS m
        o.symbol IS NOT NULL AS has_old, n.symbol IS NOT NULL AS has_new, o.issue_name AS o1, o.reason_code AS o2,
        o.halt_end AS o3, o.duration_minutes AS o4, o.halt_close_status AS o5
 FROM ({_STORED_EP}) o FULL OUTER JOIN (SELECT * FROM episodes WHERE hour(halt_start) >= 8) n
- ON o.symbol = n.symbol AND o.market = n.market AND o.halt_start = n.halt_start"""
+ ON o.symbol = n.symbol AND o.market IS NOT DISTINCT FROM n.market AND o.halt_start = n.halt_start"""
 
 
 def _stored_episodes(i: Inputs) -> DataFrame:

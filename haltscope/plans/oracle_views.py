@@ -477,5 +477,5 @@ def with_views(sql: str) -> str:
     visit(sql, None)
     if not needed:
         return sql.strip()
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name].strip()})" for name in needed)
     return f"WITH {ctes}\n{sql.strip()}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from haltscope.operators import merge as M
 from haltscope.operators.canonical import HALT_KEY, RESUMPTION_BLOCK
 from haltscope.plans.derive import Inputs
 from haltscope.plans.registry import query, r6
@@ -184,11 +185,11 @@ def _(i: Inputs) -> DataFrame:
 @query("stream_open_halts", """
 SELECT symbol, market, halt_start, halt_end, array_to_string(reason_codes, '|') AS reason_codes, halt_end IS NULL AS is_open FROM episodes""")
 def _(i: Inputs) -> DataFrame:
-    seen, episodes, checkpoint = work_dir(i.spark, "open-seen"), work_dir(i.spark, "open-episodes"), work_dir(i.spark, "open-cp")
+    store, checkpoint = work_dir(i.spark, "open-store"), work_dir(i.spark, "open-cp")
     # Rows come in hashed order, two files a trigger.
     stream = _stream_of(i.unique_obs.repartition(6, F.xxhash64("obs_id")), i, "open-in", 2)
-    SH.stream_open_halts(stream, seen, episodes, checkpoint, ["obs_id"]).trigger(availableNow=True).start().awaitTermination()
-    return SH.read_open_halts(i.spark, episodes).select(
+    SH.stream_open_halts(stream, store, checkpoint, ["obs_id"]).trigger(availableNow=True).start().awaitTermination()
+    return SH.read_open_halts(i.spark, store).select(
         "symbol", "market", "halt_start", "halt_end", F.array_join("reason_codes", "|").alias("reason_codes"), "is_open")
 
 
@@ -216,6 +217,24 @@ def _(i: Inputs) -> DataFrame:
     return versions.read_current(i.spark, halts).select(*HALT_KEY, *RESUMPTION_BLOCK)
 
 
+# Three polls in hashed order, copies of an observation in different ones: the episodes are those of one batch.
+@query("live_halt_episodes", """
+SELECT 'episode' AS kind, symbol, market, halt_start, halt_end, issue_name, array_to_string(reason_codes, '|') AS codes,
+       duration_minutes, halt_close_status, CAST(observation_count AS BIGINT) AS observation_count FROM episodes
+UNION ALL
+SELECT DISTINCT 'reject', symbol, NULL, halt_start, NULL, NULL, 'reason_code', NULL, NULL, NULL FROM halt_obs WHERE reason_code IS NULL""")
+def _(i: Inputs) -> DataFrame:
+    halts, store, rejects, checkpoint = (work_dir(i.spark, f"polls-{n}") for n in ("halts", "episodes", "rejects", "cp"))
+    stream = _stream_of(i.halt_obs.drop("copy_no").repartition(3, F.xxhash64("obs_id")), i, "polls-in", 1)
+    SH.live_halt_ingest(stream, halts, store, checkpoint, ["obs_id"], rejects).trigger(availableNow=True).start().awaitTermination()
+    episodes = SH.read_open_halts(i.spark, store).select(
+        F.lit("episode").alias("kind"), "symbol", "market", "halt_start", "halt_end", "issue_name", F.array_join("reason_codes", "|").alias("codes"),
+        "duration_minutes", "halt_close_status", "observation_count")
+    refused = i.spark.read.option("basePath", rejects).parquet(f"{rejects}/batch=*").select(
+        F.lit("reject").alias("kind"), "symbol", "halt_start", F.array_join("missing", "|").alias("codes")).distinct()
+    return episodes.unionByName(refused, allowMissingColumns=True)
+
+
 @query("late_resumption", """
 SELECT h.id, CASE WHEN b.id IS NOT NULL THEN b.resumption_date ELSE h.resumption_date END AS resumption_date,
        CASE WHEN b.id IS NOT NULL THEN b.resumption_quote_time ELSE h.resumption_quote_time END AS resumption_quote_time,
@@ -231,3 +250,52 @@ def _(i: Inputs) -> DataFrame:
     stream = _stream_of(i.resumptions.repartition(6, F.xxhash64("id")), i, "late-in", 2)
     SH.late_resumptions(stream, halts, 1, arrived, checkpoint, "id").trigger(availableNow=True).start().awaitTermination()
     return versions.read_current(i.spark, halts).select("id", *RESUMPTION_BLOCK)
+
+
+_FIRST_ENDS = """
+SELECT l.episode_id, max(CAST(CAST(h.resumption_date AS VARCHAR) || ' ' || coalesce(h.resumption_trade_time, h.resumption_quote_time) AS TIMESTAMP)) AS t
+FROM links l JOIN all_halt_rows h ON h.id = l.trade_halt_id GROUP BY 1"""
+# Halts with their best resumption, as after the last batch.
+_BEST = """
+SELECT h.id, coalesce(b.moment, CAST(CAST(h.resumption_date AS VARCHAR) || ' ' || coalesce(h.resumption_trade_time, h.resumption_quote_time) AS TIMESTAMP)) AS moment
+FROM all_halt_rows h LEFT JOIN (
+  SELECT symbol, market, halt_start, max(moment) AS moment FROM resumption_moments WHERE moment >= halt_start GROUP BY ALL) b
+ ON b.symbol = h.symbol AND b.market = h.market AND b.halt_start = h.halt_start"""
+
+
+# Episodes are first closed by their raw rows; then three batches of resumptions arrive, and the last one is run again.
+@query("late_resumption_episodes", f"""
+SELECT episode_id, CASE WHEN u2 THEN t2 ELSE halt_end END AS halt_end,
+       round(date_diff('microsecond', halt_start, CASE WHEN u2 THEN t2 ELSE halt_end END) / 6e7, 3) AS duration_minutes,
+       CASE WHEN u2 AND m2 THEN 'MULTI_DAY' ELSE halt_close_status END AS halt_close_status FROM (
+WITH a AS (
+  SELECT e.*, t.t AS t1, CAST(t.t AS DATE) > CAST(e.halt_start AS DATE) AS m1
+  FROM episodes e LEFT JOIN ({_FIRST_ENDS}) t ON t.episode_id = e.episode_id AND t.t >= e.halt_start),
+b AS (
+  SELECT episode_id, halt_start, coalesce(t1 IS NOT NULL AND (halt_end IS NULL OR t1 > halt_end OR duration_minutes IS NULL
+         OR (m1 AND halt_close_status <> 'MULTI_DAY')), false) AS u1, m1, t1, halt_end, halt_close_status FROM a),
+c AS (
+  SELECT episode_id, halt_start, CASE WHEN u1 THEN t1 ELSE halt_end END AS halt_end,
+         CASE WHEN u1 AND m1 THEN 'MULTI_DAY' ELSE halt_close_status END AS halt_close_status FROM b),
+d AS (
+  SELECT c.*, n.t AS t2, CAST(n.t AS DATE) > CAST(c.halt_start AS DATE) AS m2
+  FROM c LEFT JOIN (SELECT l.episode_id, max(x.moment) AS t FROM links l JOIN ({_BEST}) x ON x.id = l.trade_halt_id GROUP BY 1) n
+   ON n.episode_id = c.episode_id AND n.t >= c.halt_start),
+e AS (SELECT *, coalesce(t2 IS NOT NULL AND (halt_end IS NULL OR t2 > halt_end OR (m2 AND halt_close_status <> 'MULTI_DAY')), false) AS u2 FROM d)
+SELECT * FROM e)""")
+def _(i: Inputs) -> DataFrame:
+    halts, arrived, episodes, links = (work_dir(i.spark, f"late-all-{n}") for n in ("halts", "seen", "episodes", "links"))
+    SH.dated_links(i.links, i.core_episodes, i.all_halt_rows, "id").write.parquet(links)
+    versions.write_batch(versions.with_day(i.all_halt_rows), halts, 0)
+    first = M.enrich_episodes(i.core_episodes, i.links, i.all_halt_rows).drop("core_updated")
+    versions.write_batch(versions.with_day(first), episodes, 0)
+    stream = _stream_of(i.resumptions.repartition(3, F.xxhash64("id")), i, "late-all-in", 1)
+    run = SH.late_resumption_batch(halts, 1, arrived, "id", links, episodes)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        run(batch, batch_id)
+        run(batch, batch_id)
+
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", work_dir(i.spark, "late-all-cp")).trigger(
+        availableNow=True).start().awaitTermination()
+    return versions.read_current(i.spark, episodes).select("episode_id", "halt_end", "duration_minutes", "halt_close_status")

@@ -7,17 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from haltscope.functions.clean import normalize_market
 from haltscope.operators.canonical import canonical_halts
-from haltscope.operators.episodes import OBSERVATION_KEY, dedup_observations, halt_episodes, usable_observations
-from haltscope.operators.merge import (
-    enrich_halts,
-    merge_episodes,
-    merge_halts,
-)
+from haltscope.operators.episodes import OBSERVATION_KEY, dedup_observations
+from haltscope.operators.merge import enrich_episodes, enrich_halts, merge_halts, new_resumptions
 from haltscope.schemas import FEED_ITEM
 from haltscope.sources.feeds import CORRUPT, HALT, check_feed, events_from_items
-from haltscope.sources.versions import days_of, read_current, with_day, write_batch
+from haltscope.sources.versions import day_list, last_batch, read_current, with_day, write_batch
+from haltscope.streaming.frontier import episode_store_batch, read_episodes
 
 
 def read_feed_stream(spark: SparkSession, path: str, feed: str = HALT, files_per_batch: int | None = None) -> DataFrame:
@@ -59,19 +55,19 @@ def ingest_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: upsert one snapshot into the halt and episode tables.
 
-    Observations that cannot be stored as halts (no start, market or reason) are
-    written to ``rejects_root`` with what is missing.
+    Halts are merged with the stored rows of their days. Episodes are merged
+    with those within reach (``streaming.frontier``): a halt that an earlier
+    poll left open is the same episode in the next one, and observations without
+    a market form episodes of their own. Observations that cannot be stored as
+    halts (no start, market or reason) are written to ``rejects_root`` with what
+    is missing.
     """
+    merge_episodes = episode_store_batch(episodes_root, order_cols)
 
-    def upsert(rows: DataFrame, root: str, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        spark = rows.sparkSession
+    def upsert_halts(rows: DataFrame, batch_id: int) -> None:
         incoming = with_day(rows)
-        if batch_id > 0:
-            stored = read_current(spark, root, batch_id, incoming.schema)
-            existing = stored.join(days_of(incoming), "halt_day", "left_semi")
-        else:
-            existing = incoming.filter(F.lit(False))
-        write_batch(with_day(merge(existing, incoming).drop("action")), root, batch_id)
+        existing = read_current(rows.sparkSession, halts_root, batch_id, incoming.schema, day_list(incoming))
+        write_batch(with_day(merge_halts(existing, incoming).drop("action")), halts_root, batch_id)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         snapshot = dedup_observations(batch, order_cols).persist()
@@ -83,8 +79,8 @@ def ingest_batch(
             if rejects_root:
                 refused = snapshot.withColumn("missing", missing).filter(F.size("missing") > 0)
                 refused.write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
-            upsert(canonical_halts(usable, order_cols), halts_root, batch_id, merge_halts)
-            upsert(halt_episodes(snapshot, order_cols), episodes_root, batch_id, merge_episodes)
+            upsert_halts(canonical_halts(usable, order_cols), batch_id)
+            merge_episodes(snapshot, batch_id)
         finally:
             snapshot.unpersist()
 
@@ -115,76 +111,88 @@ def export_live_events(events: DataFrame, folder: str, checkpoint: str, order_co
 
 # -- late resumptions -------------------------------------------------------------
 
+def dated_links(links: DataFrame, episodes: DataFrame, halts: DataFrame, id_col: str) -> DataFrame:
+    """Links with the days under which their episode and their raw row are stored."""
+    return (
+        links.join(episodes.select("episode_id", F.to_date("halt_start").alias("episode_day")), "episode_id")
+        .join(halts.select(F.col(id_col).alias("trade_halt_id"), F.to_date("halt_start").alias("halt_day")), "trade_halt_id")
+        .select("episode_id", "trade_halt_id", "episode_day", "halt_day")
+    )
+
+
 def late_resumption_batch(
-    halts_root: str, first_batch: int, resumptions_path: str, id_col: str
+    halts_root: str, first_batch: int, resumptions_root: str, id_col: str,
+    links_path: str | None = None, episodes_root: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: late resumptions enrich stored halts, never create one.
+    """A ``foreachBatch`` function: late resumptions enrich stored halts and their episodes, never create one.
 
-    All resumptions that ever arrived are kept in ``resumptions_path``; a halt gets
-    the best of all of them, so a batch with an earlier moment takes nothing back.
-    No watermark bounds it: a resumption may come weeks later. Only the days of
-    the halts concerned are rewritten.
+    A resumption is stored once per key (``RESUMPTION_KEY``), whatever number of
+    times it arrives. A halt gets the best of all that are stored for it, so a
+    batch with an earlier moment takes nothing back. Episodes linked with halts
+    of the days concerned are closed or extended by all their raw rows; links
+    themselves stay. No watermark bounds it: a resumption may come weeks later.
+
+    All tables are versions by day. A batch reads what was stored before it, so
+    one that is run again, after any of its writes, ends with the same tables;
+    :func:`settled_batch` tells which batch all of them hold.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = first_batch + batch_id
-        arrived = batch.filter(F.col("resumption_date").isNotNull()).persist()
+        spark, version = batch.sparkSession, first_batch + batch_id
+        arrived = with_day(batch.filter(F.col("resumption_date").isNotNull() & F.col("halt_start").isNotNull())).persist()
         try:
-            seen = resumptions_path.rstrip("/")
-            arrived.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-            stored = spark.read.schema(arrived.schema.add("batch", "integer")).option("basePath", seen).parquet(seen)
-            days = days_of(with_day(arrived))
-            known = with_day(stored.filter(F.col("batch") <= batch_id).drop("batch")).join(days, "halt_day", "left_semi").drop("halt_day")
-            touched = read_current(spark, halts_root, version).join(days, "halt_day", "left_semi")
+            days = day_list(arrived)
+            known = read_current(spark, resumptions_root, version, arrived.schema, days)
+            write_batch(known.unionByName(new_resumptions(known, arrived)), resumptions_root, version)
+            known = read_current(spark, resumptions_root, version + 1, arrived.schema, days).drop("halt_day")
+            touched = read_current(spark, halts_root, version, None, days)
             write_batch(enrich_halts(touched, known, id_col).drop("raw_updated"), halts_root, version)
+            if episodes_root:
+                extend(spark, version, days)
         finally:
             arrived.unpersist()
 
+    def extend(spark: SparkSession, version: int, days: list) -> None:
+        links = spark.read.parquet(links_path)
+        wanted = links.filter(F.col("halt_day").isin(days)).select("episode_id").distinct()
+        mine = links.join(wanted, "episode_id", "left_semi").persist()
+        found = mine.agg(F.collect_set("episode_day").alias("episodes"), F.collect_set("halt_day").alias("halts")).first()
+        halts = read_current(spark, halts_root, version + 1, None, found.halts)
+        halts = halts.withColumnRenamed(id_col, "id") if id_col != "id" else halts
+        episodes = read_current(spark, episodes_root, version, None, found.episodes)
+        changed = enrich_episodes(episodes, mine.select("episode_id", "trade_halt_id"), halts)
+        write_batch(changed.drop("core_updated"), episodes_root, version)
+        mine.unpersist()
+
     return run
 
 
+def settled_batch(spark: SparkSession, *roots: str) -> int | None:
+    """The last batch that all tables hold; read them with ``before_batch`` one above it."""
+    newest = [last_batch(spark, root) for root in roots]
+    return None if None in newest else min(newest)
+
+
 def late_resumptions(
-    events: DataFrame, halts_root: str, first_batch: int, resumptions_path: str, checkpoint: str, id_col: str
+    events: DataFrame, halts_root: str, first_batch: int, resumptions_root: str, checkpoint: str, id_col: str,
+    links_path: str | None = None, episodes_root: str | None = None,
 ) -> DataStreamWriter:
     return events.writeStream.foreachBatch(
-        late_resumption_batch(halts_root, first_batch, resumptions_path, id_col)
+        late_resumption_batch(halts_root, first_batch, resumptions_root, id_col, links_path, episodes_root)
     ).option("checkpointLocation", checkpoint)
 
 
 # -- open halts ---------------------------------------------------------------------------
 
-def open_halt_batch(observations: str, episodes: str, order_cols: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: keep the episodes of all (symbol, venue) pairs seen so far.
+def stream_open_halts(events: DataFrame, root: str, checkpoint: str, order_cols: list[str] = ORDER) -> DataStreamWriter:
+    """Stream of observations -> the episodes of each (symbol, venue), open ones among them.
 
-    The batch's observations are stored; then :func:`halt_episodes` runs over all
-    stored observations of the pairs that the batch touches, and its result
-    becomes their new version. Late rows thus land in the episode they belong to,
-    in whatever order batches bring them. A batch that is run again replaces its
-    own folders.
+    A batch reads and rewrites the days of the episodes within its reach; what is
+    further back stays in its folders, unread (see ``streaming.frontier``).
     """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        usable_observations(batch).write.mode("overwrite").parquet(f"{observations}/batch={batch_id}")
-        stored = spark.read.schema(batch.schema.add("batch", "integer")).option("basePath", observations).parquet(observations)
-        stored = stored.withColumn("_venue", F.coalesce(normalize_market("market"), F.lit("")))
-        touched = stored.filter(F.col("batch") == batch_id).select("symbol", "_venue").distinct()
-        known = stored.filter(F.col("batch") <= batch_id).join(touched, ["symbol", "_venue"], "left_semi").drop("_venue", "batch")
-        halt_episodes(known, order_cols).write.mode("overwrite").parquet(f"{episodes}/batch={batch_id}")
-
-    return run
-
-
-def stream_open_halts(events: DataFrame, observations: str, episodes: str, checkpoint: str, order_cols: list[str] = ORDER) -> DataStreamWriter:
-    """Stream of observations -> versions of the episodes of each touched (symbol, venue)."""
-    return events.writeStream.foreachBatch(open_halt_batch(observations, episodes, order_cols)).option("checkpointLocation", checkpoint)
+    return events.writeStream.foreachBatch(episode_store_batch(root, order_cols)).option("checkpointLocation", checkpoint)
 
 
-def read_open_halts(spark: SparkSession, episodes: str) -> DataFrame:
-    """The newest version of each (symbol, venue): its episodes, and which are open."""
-    stored = spark.read.option("basePath", episodes).parquet(f"{episodes}/batch=*")
-    pair = ["symbol", F.coalesce("market", F.lit("")).alias("_venue")]
-    newest = stored.groupBy(*pair).agg(F.max("batch").alias("batch"))
-    current = stored.withColumn("_venue", pair[1]).join(newest, ["symbol", "_venue", "batch"])
-    return current.select(*[c for c in stored.columns if c != "batch"], F.col("halt_end").isNull().alias("is_open"))
+def read_open_halts(spark: SparkSession, root: str) -> DataFrame:
+    """All stored episodes, and which are open."""
+    return read_episodes(spark, root)

@@ -78,7 +78,7 @@ def test_polls_complete_a_halt_and_never_erase(spark, tmp_path):
     poll("tradehalts_3.xml", {})
     stored = {r.symbol: r for r in versions.read_current(spark, halts).collect()}
     assert set(stored) == {"A", "B"} and stored["A"].resumption_trade_time == "10:05:00"
-    ended = {r.symbol: r for r in versions.read_current(spark, episodes).collect()}
+    ended = {r.symbol: r for r in SH.read_open_halts(spark, episodes).collect()}
     assert (ended["A"].halt_end, ended["A"].halt_close_status) == (datetime(2024, 1, 5, 10, 5), "NO")
     assert ended["B"].halt_close_status == "UNKNOWN"
 
@@ -106,11 +106,11 @@ def test_open_halts_over_batches_in_any_order(spark, tmp_path):
     batches = [[(0, "A", "Q", "T1", d(10, 0), d(10, 5), *rest)], [(1, "A", "Q", "T1", d(9, 0), d(9, 10), *rest)],
                [(2, "A", "NASDAQ", "H11", d(10, 5), d(10, 30), *rest), (3, "B", None, "M", d(8, 0), None, *rest)],
                [(4, "A", "Q", "M", d(12, 0), None, *rest), (5, "A", "Q", "M", None, None, *rest)]]
-    source, seen, episodes, cp = (str(tmp_path / n) for n in ("in", "seen", "episodes", "cp"))
+    source, store, cp = (str(tmp_path / n) for n in ("in", "store", "cp"))
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        run(SH.stream_open_halts(spark.readStream.schema(schema).parquet(source), seen, episodes, cp, ["k"]))
-    got = {(r.symbol, r.market, r.halt_start, r.halt_end, tuple(r.reason_codes), r.is_open) for r in SH.read_open_halts(spark, episodes).collect()}
+        run(SH.stream_open_halts(spark.readStream.schema(schema).parquet(source), store, cp, ["k"]))
+    got = {(r.symbol, r.market, r.halt_start, r.halt_end, tuple(r.reason_codes), r.is_open) for r in SH.read_open_halts(spark, store).collect()}
     whole = spark.createDataFrame([r for b in batches for r in b], schema)
     assert got == {(r.symbol, r.market, r.halt_start, r.halt_end, tuple(r.reason_codes), r.halt_end is None) for r in halt_episodes(whole, ["k"]).collect()}
     assert ("A", "NASDAQ", d(9, 0), d(9, 10), ("T1",), False) in got and len(got) == 4
