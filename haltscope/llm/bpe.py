@@ -11,7 +11,6 @@ order. Spark spreads the texts; nothing is shuffled.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
@@ -23,26 +22,33 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from haltscope.llm.common import give_back
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: The rank file is sent to every worker, so its size is bounded.
 MAX_BYTES = 64 << 20
 #: Steps of one recursive query, whose rows stay until it ends; words not done by then go on in the next.
 STEPS = 64
-#: Words a worker remembers, and words in one query.
-REMEMBERED, TOGETHER = 400_000, 50_000
-#: Texts looked at together.
-TEXTS = 4000
-
-_POSITION = (1 << 24) - 1
+#: Bytes of units that a worker remembers (twice this in all), and words in one query.
+REMEMBERED, TOGETHER = 24 << 20, 20_000
+#: What a remembered unit takes besides its characters: two strings and an entry of a table.
+ENTRY = 220
+#: Memory of a worker's DuckDB.
+DUCKDB = "160MB"
+#: Code points of texts looked at together.
+TEXTS = 1 << 20
+
+# The key of a merge has the position in its low bits: lists of up to 2^32 tokens.
+_POSITION = (1 << 32) - 1
 
 _ENCODE = f"""
 WITH RECURSIVE s AS (
   SELECT 0 AS it, word, toks, true AS more FROM words
   UNION ALL
   SELECT it + 1, s.word,
-         list_concat(list_append(toks[:(key & {_POSITION}) - 1], CAST(key >> 24 AS INTEGER)), toks[(key & {_POSITION}) + 2:]), true
+         list_concat(list_append(toks[:(key & {_POSITION}) - 1], CAST(key >> 32 AS INTEGER)), toks[(key & {_POSITION}) + 2:]), true
   FROM s JOIN (
-    SELECT word, min((CAST(m.id AS BIGINT) << 24) + i) AS key
+    SELECT word, min((CAST(m.id AS BIGINT) << 32) + i) AS key
     FROM (SELECT word, unnest(toks) AS tok, unnest(toks[2:]) AS nxt, unnest(range(1, len(toks) + 1)) AS i FROM s) p
     JOIN merges m ON m.l = p.tok AND m.r = p.nxt GROUP BY word) b ON b.word = s.word
   WHERE it < {STEPS})
@@ -78,17 +84,21 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
         self.pattern = regex.compile(pattern)
         self.blanks = pattern == public_tokenizers.PATTERN
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t))
                  if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, new = (pa.array([p[k] for p in pairs], pa.int32()) for k in range(3))
         self._table("merges", pa.table({"l": left, "r": right, "id": new}))
         self._table("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([t.hex() for t in self.ranks])}))
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        # By unit: decimal ids, and the bytes that they stand for.
+        self.forget()
+
+    def forget(self) -> None:
+        # By unit: decimal ids; and the bytes that they stand for, where those are not the unit's own.
         self.written: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.before: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.other: dict[str, bytes] = {}
+        self.before: dict[str, str] = {}
+        self.size = 0
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("_rows", rows)
@@ -152,13 +162,12 @@ class Codec:
 
     def learn(self, units: set[str]) -> None:
         """Encode the units not remembered, and decode what came out."""
-        if len(self.written) > REMEMBERED:  # what is not used again until the next time is forgotten
-            self.before, self.written, self.decoded = (self.written, self.decoded), {}, {}
-        written, decoded = self.before
+        if self.size > REMEMBERED:  # what is not used again until the next time is forgotten
+            self.before, self.written, self.size = self.written, {}, 0
         new = []
         for unit in units.difference(self.written):
-            if unit in written:
-                self.written[unit], self.decoded[unit] = written[unit], decoded[unit]
+            if unit in self.before:
+                self._keep(unit, self.before[unit])
             else:
                 new.append(unit)
         cut = [self.pieces(u) for u in new]
@@ -167,23 +176,28 @@ class Codec:
         text = dict(zip(words, pa.compute.binary_join(ids.cast(pa.list_(pa.string())), " ").to_pylist(), strict=True))
         data = dict(zip(words, self.joined(ids), strict=True))
         for unit, own in zip(new, cut, strict=True):
-            self.written[unit] = " ".join([text[w] for w in own])
-            self.decoded[unit] = b"".join([data[w] for w in own])
-
-    def round_trip(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Decimal ids joined by blanks, and the bytes that the ids stand for."""
-        out = []
-        for at in range(0, len(texts), TEXTS):
-            cut = [self.units(t) for t in texts[at:at + TEXTS]]
+            self._keep(unit, " ".join([text[w] for w in own]))
+            back = b"".join([data[w] for w in own])
+            if back != unit.encode():
+                self.other[unit] = back
+
+    def _keep(self, unit: str, written: str) -> None:
+        self.written[unit] = written
+        self.size += len(unit) + len(written) + ENTRY
+
+    def round_trip(self, texts: list[str]):
+        """For each text: decimal ids joined by blanks, and the bytes that the ids stand for."""
+        at = 0
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and size < TEXTS:
+                cut.append(self.units(texts[at]))
+                size, at = size + len(texts[at]), at + 1
             self.learn(set().union(*cut))
-            written, decoded = self.written.__getitem__, self.decoded.__getitem__
-            out += [(" ".join(map(written, own)), b"".join(map(decoded, own))) for own in cut]
-        return out
-
-
-@functools.lru_cache(2)
-def _codec(data: bytes) -> Codec:
-    return Codec(data)
+            written = self.written.__getitem__
+            for own in cut:
+                back = "".join(own).encode() if not self.other else b"".join([self.other.get(u) or u.encode() for u in own])
+                yield " ".join(map(written, own)), back
 
 
 def _texts(batch) -> list[str]:
@@ -194,9 +208,16 @@ def _apply(docs: DataFrame, path: str | None, columns: str, of) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        codec = _codec(sent.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *of(codec, batch)], ["doc_id", *re.findall(r"(\w+) [a-z<>]+(?:,|$)", columns)])
+        codec = None
+        try:
+            for batch in batches:
+                codec = codec or Codec(sent.value)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *of(codec, batch)], ["doc_id", *re.findall(r"(\w+) [a-z<>]+(?:,|$)", columns)])
+        finally:
+            if codec:
+                codec.db.close()
+                del codec
+            give_back()
 
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {columns}")
 

@@ -154,3 +154,23 @@ def test_encode_and_decode(spark, odd, nothing):
     rows = bpe.encoding_report(odd).collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {0}
     assert bpe.encoding_report(nothing).count() == 0
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    family = [" ".join(words[:k] + [f"x{k}"] + words[k + 1:]) for k in (20, 90, 150)]
+    rows = [(None, family[0]), (None, family[1]), (5, family[2]), (None, family[0]), (7, "a b c d"), (None, "e f g h"), (None, "e f g h")]
+    got = near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == sorted([(0, 5, False)] * 3 + [(5, 5, True), (7, 7, True), (0, 0, True), (0, 0, True)])
+
+
+def test_codec_remembers_a_bounded_size(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100_000)
+    monkeypatch.setattr(bpe, "TEXTS", 1000)
+    codec = bpe.Codec(bpe.read_ranks())
+    texts = [" ".join(f"word{i}x{k}" for k in range(100)) for i in range(60)]
+    for text, (ids, data) in zip(texts, codec.round_trip(texts), strict=True):
+        assert data == text.encode()
+        assert codec.size <= 100_000 + 200 * 300
+        own = sum(len(k) + len(v) + bpe.ENTRY for part in (codec.written, codec.before) for k, v in part.items())
+        assert own <= 2 * (100_000 + 200 * 300)
