@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from haltscope.llm.common import ROW, keyed, stored, without_rows
+from haltscope.llm.common import ROW, give_back, keyed, stored, without_rows
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -103,6 +103,7 @@ def _count_batches(batches):
         rows = np.array([text_counts(t or b"") for t in texts], dtype=np.int64).reshape(len(texts), len(COUNTS))
         kept = [batch.column(c) for c in ("doc_id", "lang", "source")]
         yield pa.RecordBatch.from_arrays(kept + [pa.array(rows[:, k]) for k in range(len(COUNTS))], ["doc_id", "lang", "source", *COUNTS])
+    give_back()
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -186,6 +187,7 @@ def mcd_estimates(rows: DataFrame, steps: int = STEPS, subset: float = SUBSET, m
     """(grp, mean, form, scale) of every group of ``rows`` (lang, source, x0..) with enough rows."""
     each = rows.select(*X, F.explode(F.array(*[_group(*c) for c in LEVELS])).alias("grp"))
     sizes = each.groupBy("grp").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min_rows)
+    sizes = stored(sizes, "mcd-sizes")
     each = stored(each.join(sizes, "grp").select("grp", *X), "mcd-rows")
     starts = each.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
     now = stored(_estimate(_moments(each.withColumn("start", F.lit(1))).unionByName(_median_start(each))), "mcd-0")
