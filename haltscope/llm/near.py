@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from haltscope.llm.common import by_row, keyed, stored, without_rows
+from haltscope.llm.common import by_row, dropped, give_back, keyed, stored, tidy, without_rows
 
 BANDS, ROWS = 26, 6
 SMALL = 8
@@ -101,7 +101,7 @@ class Sketcher:
 def _sets(batch, size: int):
     hashes: dict[bytes, int] = {}
     for text in batch.column("text").cast(pa.binary()).to_pylist():
-        if len(hashes) > 500_000:
+        if len(hashes) > 100_000:
             hashes = {}
         yield shingle_set((text or b"").lower().split(), size, hashes)
 
@@ -133,6 +133,7 @@ def sketch(docs: DataFrame, words: int, sketcher: Sketcher) -> DataFrame:
                 bits.append(_EMPTY.view(np.int64) if m is None else sketcher.signature(m))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(keys), _lists(bits)],
                                              ["doc_id", "mark", "node", "n_shingles", "keys", "signature"])
+        give_back()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, mark long, node long, n_shingles long, keys array<long>, signature array<long>")
@@ -229,7 +230,8 @@ def connected(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = stored(small.select("e.a", "e.b").filter("a != b").distinct(), "star")
+        before, pairs = pairs, stored(small.select("e.a", "e.b").filter("a != b").distinct(), "star")
+        dropped(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -253,10 +255,15 @@ class NearCopies:
         members = stored(buckets.join(shared, "key"), "near-buckets")
         weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
         self.members = stored(members.join(weight, "node"), "near-members")
-        some = stored(nodes.join(weight, "node").select("node", "doc_id", "mark", "n", "signature"), "near-some")
+        some = stored(nodes.join(self.members.select("node", "weight").distinct(), "node").select("node", "doc_id", "mark", "n", "signature"), "near-some")
+        dropped(nodes, members)
+        tidy(docs.sparkSession)
         self.nodes = some.select("node", "n", "signature")
         self.sets = stored(_full_sets(docs, some, words), "near-sets")
+        tidy(docs.sparkSession)
         self.roots, self.edges = self._link()
+        dropped(self.sets)
+        tidy(docs.sparkSession)
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets are similar: by the estimate first, then in full."""
@@ -269,7 +276,10 @@ class NearCopies:
         full = lambda x: self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"f{x}"))
         both = F.size(F.array_intersect("fa", "fb"))
         out = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb") - both).alias("any"))
-        return stored(out.filter(100 * F.col("both") >= self.threshold * F.col("any")).select("a", "b"), "near-edges")
+        out = stored(out.filter(100 * F.col("both") >= self.threshold * F.col("any")).select("a", "b"), "near-edges")
+        dropped(near)
+        tidy(self.docs.sparkSession)
+        return out
 
     def _hubs(self, members: DataFrame) -> DataFrame:
         return members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
@@ -295,8 +305,10 @@ class NearCopies:
             new = self._confirmed(pairs)
             if new.isEmpty():
                 break
-            edges = stored(edges.unionByName(new), "near-edges")
+            before, edges = edges, stored(edges.unionByName(new), "near-edges")
+            dropped(before, new, placed)
         rest = self._confirmed(self._prefix_pairs(placed))
+        dropped(placed, self.members)
         if rest.isEmpty():
             return roots, edges
         edges = stored(edges.unionByName(rest), "near-edges")
