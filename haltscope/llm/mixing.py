@@ -24,7 +24,7 @@ SHARE = 1.5
 LIMIT = 2
 # Words of a block, at every size of the corpus; a source that has fewer than
 # PARTS such blocks is cut into PARTS smaller ones.
-BLOCK, PARTS = 1024, 64
+BLOCK, PARTS = 1024, 4096
 
 # 2^32 divided by the golden ratio, and 2^32. Slot i has the point
 # frac(i * STEP / RANGE), computed in whole numbers.

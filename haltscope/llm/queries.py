@@ -37,7 +37,7 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECED
              / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
       FROM w WINDOW o AS (ORDER BY cap / w, idx)),
 t AS (SELECT source, idx, source_size, least(cap, max(lev) OVER () * w) AS target FROM l),
-b AS (SELECT *, greatest(1, least(1024, CAST(ceil(source_size / 64.0::DOUBLE) AS BIGINT))) AS blk FROM t),
+b AS (SELECT *, greatest(1, least(1024, CAST(ceil(source_size / 4096.0::DOUBLE) AS BIGINT))) AS blk FROM t),
 r AS (SELECT d.doc_id, b.idx, b.source_size, b.target, d.size, b.blk,
              sum(d.size) OVER (PARTITION BY b.idx ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS fin
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
