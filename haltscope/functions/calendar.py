@@ -154,6 +154,56 @@ def trading_calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
     )
 
 
+def date_bounds(*columns: tuple[DataFrame, str]) -> tuple[date, date] | None:
+    """First and last day of some date or timestamp columns: one aggregate per table, two dates for the driver."""
+    tables: dict[int, tuple[DataFrame, list[str]]] = {}
+    for table, column in columns:
+        tables.setdefault(id(table), (table, []))[1].append(column)
+    found = []
+    for table, names in tables.values():
+        row = table.agg(*[f(c).cast("date") for c in names for f in (F.min, F.max)]).first()
+        found += [d for d in row if d is not None]
+    return (min(found), max(found)) if found else None
+
+
+def calendar_for(spark: SparkSession, *columns: tuple[DataFrame, str], years: int = 1) -> DataFrame:
+    """The calendar of all days that the columns hold, in whole years, with ``years`` more on both sides.
+
+    Look-backs (preceding sessions, baselines) reach into the margin; an end that
+    is derived from the columns may do so, too.
+    """
+    today = date.today()
+    low, high = date_bounds(*columns) or (today, today)
+    return trading_calendar(spark, date(max(low.year - years, 1), 1, 1), date(high.year + years, 12, 31))
+
+
+def on_calendar(df: DataFrame, day: Column, calendar: DataFrame, **columns: str) -> DataFrame:
+    """Add calendar columns (new name = calendar's name) of a day.
+
+    No row is lost. A day that the calendar does not cover is an error; a NULL
+    day has NULL columns.
+    """
+    marks = calendar.select(F.col("cal_date").alias("_cal"), *[F.col(c).alias(f"_cal_{n}") for n, c in columns.items()])
+    joined = df.withColumn("_cal_day", day).join(F.broadcast(marks), F.col("_cal_day") == F.col("_cal"), "left")
+    # Part of the value, so that no later filter on it can drop the row unseen.
+    covered = F.col("_cal_day").isNull() | F.col("_cal").isNotNull()
+    message = F.concat(F.lit("the calendar does not cover "), F.col("_cal_day").cast("string"))
+    types = dict(calendar.dtypes)
+    return joined.select(*[F.col(c) for c in df.columns], *[
+        F.when(covered, F.col(f"_cal_{n}")).otherwise(F.raise_error(message).cast(types[c])).alias(n) for n, c in columns.items()])
+
+
+def sessions_count(df: DataFrame, start: Column, end: Column, calendar: DataFrame, name: str) -> DataFrame:
+    """Add the number of sessions from ``start`` to ``end``, inclusive; 0 when reversed or NULL.
+
+    Two look-ups of the session number instead of listing the days.
+    """
+    placed = on_calendar(df, start, calendar, _from="next_seq")
+    placed = on_calendar(placed, end, calendar, _to="next_seq", _on="is_session")
+    n = F.col("_to") - F.col("_from") + F.when(F.col("_on"), 1).otherwise(0)
+    return placed.withColumn(name, F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("bigint")).drop("_from", "_to", "_on")
+
+
 def sessions_between(calendar: DataFrame, start: date, end: date) -> DataFrame:
     """Sessions of [start, end], inclusive; empty when reversed."""
     return calendar.filter(F.col("is_session") & F.col("cal_date").between(F.lit(start), F.lit(end)))
@@ -162,16 +212,18 @@ def sessions_between(calendar: DataFrame, start: date, end: date) -> DataFrame:
 def preceding_sessions(days: DataFrame, day_col: str, calendar: DataFrame, count: int) -> DataFrame:
     """(day, session_date, sessions_back) for the ``count`` sessions before each day."""
     cal = F.broadcast(calendar)
-    here = days.select(day_col).distinct().join(
-        cal.select(F.col("cal_date").alias(day_col), F.col("next_seq").alias("_here")), day_col
-    )
+    here = on_calendar(days.select(day_col).filter(F.col(day_col).isNotNull()).distinct(), F.col(day_col), calendar, _here="next_seq")
     wanted = here.select(
         day_col, F.explode(F.sequence(F.lit(1), F.lit(count))).alias("sessions_back"), "_here"
     ).withColumn("_seq", F.col("_here") - F.col("sessions_back"))
     sessions = cal.filter("is_session").select(
         F.col("next_seq").alias("_seq"), F.col("cal_date").alias("session_date")
     )
-    return wanted.join(F.broadcast(sessions), "_seq").select(day_col, "session_date", "sessions_back")
+    # Sessions before the calendar's first one are not covered either.
+    found = wanted.join(F.broadcast(sessions), "_seq", "left")
+    outside = F.raise_error(F.concat(F.lit("the calendar begins too late for "), F.col(day_col).cast("string"))).cast("date")
+    reached = F.when(F.col("_seq") >= 1, F.col("session_date")).otherwise(outside)
+    return found.select(day_col, reached.alias("session_date"), "sessions_back")
 
 
 def session_label(minute_of_day: Column, close_minute: Column) -> Column:
@@ -186,7 +238,6 @@ def session_label(minute_of_day: Column, close_minute: Column) -> Column:
 
 def with_session(df: DataFrame, ts_col: str, calendar: DataFrame) -> DataFrame:
     """Add ``session``, ``close_minute`` and ``next_seq`` of the row's day."""
-    days = calendar.select(F.col("cal_date").alias("_d"), "close_minute", "next_seq")
-    joined = df.withColumn("_d", F.to_date(ts_col)).join(F.broadcast(days), "_d", "left").drop("_d")
+    joined = on_calendar(df, F.to_date(ts_col), calendar, close_minute="close_minute", next_seq="next_seq")
     minute = F.hour(ts_col) * 60 + F.minute(ts_col)
     return joined.withColumn("session", session_label(minute, F.col("close_minute")))

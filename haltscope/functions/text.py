@@ -31,6 +31,10 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+# For a column that several conditions read: the optimizer must not copy the call into each of them.
+unescape_once = _unescape.asNondeterministic()
+
+
 def html_to_text(content: Column | str) -> Column:
     """Tags to blanks, entities decoded, whitespace collapsed and trimmed."""
     bare = F.regexp_replace(_c(content), r"<[^>]+>", " ")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haltscope.functions.clean import safe_ratio
 from haltscope.functions.times import bucket_start, minute_of_day, plus_minutes
-from haltscope.functions.calendar import PRE_MARKET_OPEN
+from haltscope.functions.calendar import PRE_MARKET_OPEN, on_calendar
 
 CANONICAL_BAR_COLUMNS = ("ticker", "market", "bar_start", "open", "high", "low", "close", "volume")
 
@@ -146,10 +146,8 @@ def rvol(
     but is never part of a baseline.
     """
     buckets = aggregate_bars(bars, minutes, as_of)
-    days = F.broadcast(
-        calendar.select(F.col("cal_date").alias("trading_day"), "is_session", F.col("next_seq").alias("_seq"))
-    )
-    placed = buckets.withColumn("trading_day", F.to_date("bucket_start")).join(days, "trading_day")
+    placed = on_calendar(
+        buckets.withColumn("trading_day", F.to_date("bucket_start")), F.col("trading_day"), calendar, is_session="is_session", _seq="next_seq")
     same_time = (
         Window.partitionBy("ticker", minute_of_day("bucket_start"))
         .orderBy("_seq")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from haltscope.functions.calendar import on_calendar
 from haltscope.functions.times import day_start, plus_minutes
 
 
@@ -17,43 +18,78 @@ def _covered_days(start: Column, end: Column) -> Column:
     return F.sequence(first, F.greatest(first, F.coalesce(last, first)))
 
 
-def episode_days(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Each episode on every session it covers, with ``halted_at_close`` for that session.
+def session_spans(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Each episode with its sessions as numbers: ``_first`` to ``_last``, halted at close up to ``_closed``.
 
-    Halted at close = no end, or an end strictly after the session's close; the
-    start is not looked at. A column ``halted_at_close`` on the input overrides.
-    ``is_first_session`` marks the first session an episode covers.
+    An open or reversed episode covers its start day alone. Episodes that touch
+    no session are left out; a day outside the calendar is an error. Halted at
+    close = no end, or an end strictly after the session's close; the start is
+    not looked at, so only the last session is in question. A column
+    ``halted_at_close`` on the input overrides.
     """
     start, end = F.col("halt_start"), F.col("halt_end")
-    sessions = calendar.filter("is_session").select(
-        F.col("cal_date").alias("trading_date"), "close_minute", F.col("next_seq").alias("session_seq")
-    )
-    first_session = calendar.select(F.col("cal_date").alias("_d0"), F.col("next_session").alias("_s0"))
-    at_close = end.isNull() | (end > plus_minutes(day_start("trading_date"), F.col("close_minute")))
+    last_day = F.greatest(F.to_date(start), F.coalesce(F.to_date(end), F.to_date(start)))
+    placed = on_calendar(episodes.filter(start.isNotNull()), F.to_date(start), calendar, _first="next_seq")
+    placed = on_calendar(placed.withColumn("_last_day", last_day), F.col("_last_day"), calendar,
+                         _seq="next_seq", _is_session="is_session", _close="close_minute")
+    placed = placed.withColumn("_last", F.col("_seq") - F.when(F.col("_is_session"), 0).otherwise(1)).filter("_first <= _last")
+    # Behind a last session that is not the last day, the end lies after its close.
+    late = end.isNull() | ~F.col("_is_session") | (end > plus_minutes(day_start("_last_day"), F.col("_close")))
+    closed = F.when(late, F.col("_last")).otherwise(F.col("_last") - 1)
     if "halted_at_close" in episodes.columns:
-        at_close = F.coalesce(F.col("halted_at_close"), at_close)
-    exploded = episodes.filter(start.isNotNull()).withColumn("trading_date", F.explode(_covered_days(start, end)))
-    joined = (
-        exploded.join(F.broadcast(sessions), "trading_date")
-        .withColumn("_d0", F.to_date(start))
-        .join(F.broadcast(first_session), "_d0")
+        told = F.col("halted_at_close")
+        closed = F.when(told.isNull(), closed).when(told, F.col("_last")).otherwise(F.col("_first") - 1)
+    return placed.withColumn("_closed", closed).drop("_last_day", "_seq", "_is_session", "_close")
+
+
+def episode_days(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Each episode on every session it covers, with ``halted_at_close`` for that session.
+
+    ``is_first_session`` marks the first session an episode covers. See
+    :func:`session_spans` for what it covers.
+    """
+    numbered = session_spans(episodes, calendar).withColumn("session_seq", F.explode(F.sequence("_first", "_last")))
+    joined = numbered.join(F.broadcast(_sessions(calendar)), "session_seq")
+    return joined.withColumn("halted_at_close", F.col("session_seq") <= F.col("_closed")).withColumn(
+        "is_first_session", F.col("session_seq") == F.col("_first")
+    ).drop("_first", "_last", "_closed")
+
+
+def _sessions(calendar: DataFrame) -> DataFrame:
+    return calendar.filter("is_session").select(F.col("cal_date").alias("trading_date"), F.col("next_seq").alias("session_seq"))
+
+
+def _swept(episodes: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per key and session by a sweep over what begins and ends.
+
+    An episode is one more at its first session and one less behind its last,
+    however long it lasts; equal places are added up before the shuffle. A key
+    has at most two places per session, which bounds its window. Only the
+    resulting stretches are spread over their sessions.
+    """
+    change = lambda at, **n: F.struct(at.alias("seq"), *[F.lit(n.get(c, 0)).alias(c) for c in ("active", "closing", "fresh")])
+    first = F.col("_first")
+    changes = F.array(
+        change(first, active=1, closing=1, fresh=1), change(first + 1, fresh=-1),
+        change(F.col("_last") + 1, active=-1), change(F.col("_closed") + 1, closing=-1),
     )
-    return joined.withColumn("halted_at_close", at_close).withColumn(
-        "is_first_session", F.col("trading_date") == F.col("_s0")
-    ).drop("_d0", "_s0", "close_minute")
+    places = session_spans(episodes, calendar).select(*keys, F.explode(changes).alias("c")).groupBy(*keys, "c.seq").agg(
+        *[F.sum(f"c.{c}").alias(c) for c in ("active", "closing", "fresh")])
+    order = Window.partitionBy(*keys).orderBy("seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    stretches = places.select(
+        *keys, "seq", F.lead("seq").over(order).alias("_next"), *[F.sum(c).over(upto).alias(c) for c in ("active", "closing", "fresh")]
+    ).filter("active > 0")
+    return stretches.select(
+        *keys, F.explode(F.sequence("seq", F.col("_next") - 1)).alias("session_seq"),
+        F.col("active").alias("episode_count"), (F.col("closing") > 0).alias("halted_at_close"), F.col("fresh").alias("first_seen_count"),
+    ).join(F.broadcast(_sessions(calendar)), "session_seq").select(
+        *keys, "trading_date", "session_seq", "episode_count", "halted_at_close", "first_seen_count")
 
 
 def halt_days(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per symbol and session: active episodes, any halted at close, episodes first seen."""
-    return (
-        episode_days(episodes, calendar)
-        .groupBy("symbol", "trading_date", "session_seq")
-        .agg(
-            F.count(F.lit(1)).alias("episode_count"),
-            F.bool_or("halted_at_close").alias("halted_at_close"),
-            F.count_if("is_first_session").alias("first_seen_count"),
-        )
-    )
+    return _swept(episodes, calendar, ["symbol"])
 
 
 def reason_days(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -62,15 +98,7 @@ def reason_days(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
     At most one row per (symbol, session, reason): bounded by the calendar and
     the list of codes, however many episodes a symbol has.
     """
-    return (
-        episode_days(episodes, calendar)
-        .groupBy("symbol", "reason_code", "trading_date", "session_seq")
-        .agg(
-            F.count(F.lit(1)).alias("episode_count"),
-            F.bool_or("halted_at_close").alias("halted_at_close"),
-            F.count_if("is_first_session").alias("first_seen_count"),
-        )
-    )
+    return _swept(episodes, calendar, ["symbol", "reason_code"])
 
 
 def _weekday_rows(episodes: DataFrame, market_close_minute: int) -> DataFrame:

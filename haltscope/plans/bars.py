@@ -9,7 +9,7 @@ from haltscope.functions import times as T
 from haltscope.functions.clean import round_half_even_long, safe_ratio
 from haltscope.operators import bars as B
 from haltscope.operators import merge as M
-from haltscope.plans.derive import CALENDAR_FROM, CALENDAR_TO, Inputs
+from haltscope.plans.derive import Inputs
 from haltscope.plans.registry import query, r6
 from haltscope.session import work_dir
 from haltscope.sources import bars as S
@@ -256,8 +256,8 @@ SELECT e.d, c.is_session, c.close_minute, c.next_session, c.next_seq, e.n
 FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1) e JOIN calendar c ON c.cal_date = e.d""")
 def _(i: Inputs) -> DataFrame:
     days = i.table("events").groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    cal = i.calendar.withColumnRenamed("cal_date", "d")
-    return days.join(F.broadcast(cal), "d").select(
+    same = {c: c for c in ("is_session", "close_minute", "next_session", "next_seq")}
+    return CAL.on_calendar(days, F.col("d"), i.calendar, **same).select(
         "d", "is_session", "close_minute", "next_session", F.col("next_seq").cast("bigint").alias("next_seq"), "n")
 
 
@@ -275,7 +275,7 @@ def _(i: Inputs) -> DataFrame:
 @query("early_close_days", """
 SELECT e.d AS early_close_date, count(*) AS orders FROM orders o JOIN early_days e ON e.y = year(o.o_orderdate) + 25 GROUP BY 1""")
 def _(i: Inputs) -> DataFrame:
-    days = CAL.early_close_days(i.spark, CALENDAR_FROM.year, CALENDAR_TO.year + 1)
+    days = CAL.early_close_days(i.spark, *i.calendar_years)
     orders = i.table("orders").groupBy((F.year("o_orderdate") + 25).alias("year")).agg(F.count(F.lit(1)).alias("orders"))
     return orders.join(F.broadcast(days), "year").select("early_close_date", "orders")
 
@@ -284,7 +284,7 @@ def _(i: Inputs) -> DataFrame:
 SELECT c.d AS closed_date, count(*) AS orders FROM orders o JOIN closed_days c ON c.y = year(o.o_orderdate) + 25
 WHERE c.d NOT IN (SELECT d FROM early_days) GROUP BY 1""")
 def _(i: Inputs) -> DataFrame:
-    span = (i.spark, CALENDAR_FROM.year, CALENDAR_TO.year + 1)
+    span = (i.spark, *i.calendar_years)
     closed = CAL.closed_days(*span)
     early = CAL.early_close_days(*span).select(F.col("early_close_date").alias("closed_date"))
     only = closed.join(early, "closed_date", "left_anti")
@@ -296,14 +296,8 @@ def _(i: Inputs) -> DataFrame:
 SELECT o.obs_id, count(c.cal_date) AS sessions FROM halt_obs o LEFT JOIN calendar c ON c.is_session
  AND c.cal_date BETWEEN CAST(o.halt_start AS DATE) AND CAST(o.halt_end AS DATE) GROUP BY 1""")
 def _(i: Inputs) -> DataFrame:
-    # Two look-ups of the session number instead of listing the days.
-    cal = F.broadcast(i.calendar.select("cal_date", "is_session", "next_seq"))
-    first = cal.select(F.col("cal_date").alias("_a"), F.col("next_seq").alias("_fa"))
-    last = cal.select(F.col("cal_date").alias("_b"), F.col("next_seq").alias("_fb"), F.col("is_session").alias("_sb"))
-    rows = i.halt_obs.select("obs_id", F.to_date("halt_start").alias("_a"), F.to_date("halt_end").alias("_b"))
-    n = F.col("_fb") - F.col("_fa") + F.when(F.col("_sb"), 1).otherwise(0)
-    return rows.join(first, "_a", "left").join(last, "_b", "left").select(
-        "obs_id", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("bigint").alias("sessions"))
+    rows = i.halt_obs.select("obs_id", F.to_date("halt_start").alias("a"), F.to_date("halt_end").alias("b"))
+    return CAL.sessions_count(rows, F.col("a"), F.col("b"), i.calendar, "sessions").select("obs_id", "sessions")
 
 
 @query("preceding_sessions", """

@@ -6,18 +6,18 @@ row-wise projections of whole tables, so they scale with their input.
 
 from __future__ import annotations
 
-from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from haltscope.functions.calendar import trading_calendar
+from haltscope.functions.calendar import calendar_for, date_bounds
 from haltscope.functions.text import filing_url
 from haltscope.operators.canonical import canonical_halts
 from haltscope.operators.episodes import dedup_observations, episode_links, halt_episodes
 from haltscope.session import work_dir
 
-CALENDAR_FROM, CALENDAR_TO = date(2020, 1, 1), date(2030, 12, 31)
+# Years by which orders are moved next to the events.
+ORDER_YEARS = 25
 
 REASON_OF_TYPE = {"signup": "LUDP", "view": "T1", "click": "H11", "error": "M", "purchase": "T12"}
 
@@ -72,7 +72,18 @@ class Inputs:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return trading_calendar(self.spark, CALENDAR_FROM, CALENDAR_TO)
+        """All days of events and moved orders, with a year on both sides."""
+        return calendar_for(self.spark, *self._dated)
+
+    @property
+    def _dated(self) -> list[tuple[DataFrame, str]]:
+        moved = self.orders.select(F.add_months("o_orderdate", 12 * ORDER_YEARS).alias("day"))
+        return [(self.events, "ts"), (moved, "day")]
+
+    @cached_property
+    def calendar_years(self) -> tuple[int, int]:
+        low, high = date_bounds(*self._dated)
+        return low.year - 1, high.year + 1
 
     # -- halts ---------------------------------------------------------------
 

@@ -339,13 +339,18 @@ WHERE coalesce(ex.c, 0) = 1 OR (coalesce(ex.c, 0) = 0 AND coalesce(pf.c, 0) = 1)
 
 # -- calendar -------------------------------------------------------------------
 
+# Years of events and moved orders, and one on both sides.
+VIEWS["calendar_years"] = """
+SELECT least((SELECT min(year(ts)) FROM events), (SELECT min(year(o_orderdate)) + 25 FROM orders)) - 1 AS lo,
+       greatest((SELECT max(year(ts)) FROM events), (SELECT max(year(o_orderdate)) + 25 FROM orders)) + 1 AS hi
+"""
 # Easter by Butcher's method with integer division.
 VIEWS["rule_years"] = """
 SELECT y, make_date(y, ((h + l - 7 * m + 114) // 31), ((h + l - 7 * m + 114) % 31) + 1) - 2 AS good_friday
 FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m
 FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - (c % 4)) % 7 AS l
 FROM (SELECT *, (19 * a + b - b // 4 - ((b - (b + 8) // 25 + 1) // 3) + 15) % 30 AS h
-FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT unnest(range(2020, 2032)) AS y)))))
+FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS y FROM calendar_years)))))
 """
 VIEWS["closed_days"] = """
 SELECT DISTINCT y, CAST(d AS DATE) AS d FROM (
@@ -379,7 +384,7 @@ SELECT d AS cal_date, is_session, close_minute,
 FROM (
   SELECT d, is_session, CASE WHEN NOT is_session THEN NULL WHEN e.dd IS NOT NULL THEN 780 ELSE 960 END AS close_minute
   FROM (SELECT g.d, isodow(g.d) < 6 AND c.dd IS NULL AS is_session
-        FROM (SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS DATE) AS d) g
+        FROM (SELECT CAST(unnest(generate_series(make_date(lo, 1, 1), make_date(hi, 12, 31), INTERVAL 1 DAY)) AS DATE) AS d FROM calendar_years) g
         LEFT JOIN (SELECT y AS yy, d AS dd FROM closed_days) c ON c.dd = g.d AND c.yy = year(g.d)) x
   LEFT JOIN (SELECT d AS dd FROM early_days) e ON e.dd = x.d)
 """

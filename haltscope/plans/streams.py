@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from haltscope.operators import merge as M
 from haltscope.operators.canonical import HALT_KEY, RESUMPTION_BLOCK
-from haltscope.plans.derive import Inputs
+from haltscope.plans.derive import Inputs, s, text
 from haltscope.plans.registry import query, r6
 from haltscope.session import work_dir
 from haltscope.sources import feeds, versions
@@ -43,12 +43,13 @@ def _as_document(batches):
     yield pd.DataFrame({"value": ["</channel></rss>"]})
 
 
-def _write_feed(items: DataFrame, folder: str) -> None:
-    """One ``<item>`` per line; missing fields are left out."""
+def _write_feed(items: DataFrame, folder: str, before: Column | None = None) -> None:
+    """One ``<item>`` per line, behind the text ``before``; missing fields are left out."""
     fields = [
         F.concat(F.lit(f"<{name}>"), F.col(f"`{name}`"), F.lit(f"</{name}>")) for name in items.columns
     ]
     line = F.concat(F.lit("<item>"), F.concat_ws("", *fields), F.lit("</item>"))
+    line = line if before is None else F.concat(before, line)
     items.select(line.alias("value")).mapInPandas(_as_document, "value string").write.mode("append").text(folder)
 
 
@@ -94,28 +95,29 @@ def _(i: Inputs) -> DataFrame:
 @query("scan_resumption_files", """
 SELECT symbol, market, reason_code AS resumption_reason_code, CAST(NULL AS VARCHAR) AS reason_code, halt_start, resumption_date FROM halt_obs""")
 def _(i: Inputs) -> DataFrame:
-    # Spark names part files itself, so the name filter of a feed folder is not used here.
-    found = feeds.scan_halt_feed(i.spark, _feed(i, "resumption-feed"), feeds.RESUMPTION)
+    # Spark names part files itself.
+    found = feeds.scan_resumption_files(i.spark, _feed(i, "resumption-feed"), "part-*")
     return found.select("symbol", "market", "resumption_reason_code", "reason_code", "halt_start", "resumption_date")
 
 
 @query("tolerant_feed_scan", "SELECT symbol, halt_start FROM halt_obs")
 def _(i: Inputs) -> DataFrame:
-    folder = _feed(i, "broken-feed")
-    # Text files that are no feed at all sit next to the good ones.
-    junk = i.table("events").select(F.concat(F.lit("<item><ndaq:IssueSymbol>Z"), F.col("event_id").cast("string")).alias("value"))
-    junk.write.mode("append").text(folder)
+    folder = work_dir(i.spark, "broken-feed")
+    # Before each item one whose element does not close, and one that is left open.
+    _write_feed(_items(i), folder, F.concat(F.lit("<item><ndaq:IssueSymbol>Z"), F.lit("</item><item><ndaq:IssueSymbol>Y")))
     return feeds.scan_halt_feed(i.spark, folder).select("symbol", "halt_start")
 
 
-@query("bad_feed_items", "SELECT count(DISTINCT event_type) AS rejects FROM events")
+@query("bad_feed_items", "SELECT 'Z' || event_id AS symbol, count(*) AS rejects FROM halt_obs JOIN events ON event_id = obs_id // 4 GROUP BY 1")
 def _(i: Inputs) -> DataFrame:
     folder = work_dir(i.spark, "bad-items")
-    # A file per event type, of items whose elements do not close: the reader gives up a file at its first one.
-    e = F.col("event_id").cast("string")
-    bad = i.table("events").select("event_type", F.concat(F.lit("<item><ndaq:IssueSymbol>Z"), e, F.lit("</item>")).alias("value"))
-    bad.repartition("event_type").write.partitionBy("event_type").text(folder)
-    return feeds.bad_feed_items(i.spark, folder).agg(F.count(F.lit(1)).alias("rejects"))
+    # A broken item before each good one.
+    name = s("Z", text(F.floor(F.col("obs_id") / 4).cast("bigint")))
+    items = _items(i, i.halt_obs.withColumn("issue_name", name))
+    _write_feed(items, folder, F.concat(F.lit("<item><ndaq:IssueSymbol>"), F.col("`ndaq:IssueName`"), F.lit("</item>")))
+    bad = feeds.bad_feed_items(i.spark, folder)
+    symbol = F.regexp_extract("text", "<ndaq:IssueSymbol>([^<]*)", 1)
+    return bad.groupBy(symbol.alias("symbol")).agg(F.count(F.lit(1)).alias("rejects"))
 
 
 # -- streams -----------------------------------------------------------------------------------

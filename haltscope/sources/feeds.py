@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from haltscope.functions.clean import blank_to_null
 from haltscope.functions.times import filename_date, parse_feed_date, parse_feed_datetime, parse_feed_time
 from haltscope.schemas import FEED_ITEM, FEED_PREFIX
+from haltscope.sources.versions import files
 
 HALT, RESUMPTION = "halt", "resumption"
 HALT_GLOB, RESUMPTION_GLOB = "tradehalts_*.xml", "resumptions_*.xml"
@@ -61,18 +62,40 @@ def events_from_items(items: DataFrame, source_file: Column, source_type: Column
     ).filter(F.col("symbol").isNotNull())
 
 
+# Feed text is read up to each closing tag; a record holds the item that it closes, and
+# before it whatever was left open.
+ITEM_END = "</item>"
+_ITEM_START = r"(?=<item[\s>/])"
+
+
+def items_of(records: DataFrame, tolerant: bool = True) -> DataFrame:
+    """Records (value, _file) of feed text cut at ``ITEM_END`` -> parsed items.
+
+    An item that is not well-formed, or that another one begins inside of, keeps
+    its text in ``_corrupt_record`` and costs no other item. One that the end of
+    the file cuts off counts as ill-formed, unless all its elements are closed.
+    """
+    cut = F.filter(F.split("value", _ITEM_START), lambda x: x.startswith("<item"))
+    pieces = records.select("_file", F.posexplode(cut).alias("_at", "_text"), F.size(cut).alias("_n"))
+    closed = F.when(F.col("_at") == F.col("_n") - 1, F.concat("_text", F.lit(ITEM_END))).otherwise(F.col("_text"))
+    options = {"mode": "PERMISSIVE" if tolerant else "FAILFAST", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = pieces.select(F.from_xml(closed, f"{FEED_ITEM}, {CORRUPT} string", options).alias("_item"), "_file")
+    return parsed.select("_item.*", "_file")
+
+
 def read_items(spark: SparkSession, path: str, glob: str | None = None, tolerant: bool = True) -> DataFrame:
-    """Raw feed items with their file name; ill-formed ones keep their text in ``_corrupt_record``."""
-    reader = (
-        spark.read.format("xml")
-        .option("rowTag", "item")
-        .option("mode", "PERMISSIVE" if tolerant else "FAILFAST")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(f"{FEED_ITEM}, {CORRUPT} string")
-    )
+    """Raw feed items with their file name; ill-formed ones keep their text in ``_corrupt_record``.
+
+    Files are split between tasks, however large one is. A path that does not
+    exist has no items.
+    """
+    where, fs = files(spark, path)
+    if not fs.globStatus(where):
+        return items_of(spark.createDataFrame([], "value string, _file string"), tolerant)
+    reader = spark.read.option("lineSep", ITEM_END)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("*", F.col("_metadata.file_name").alias("_file"))
+    return items_of(reader.text(path).select("value", F.col("_metadata.file_name").alias("_file")), tolerant)
 
 
 def scan_halt_feed(
@@ -86,18 +109,14 @@ def scan_halt_feed(
 
 
 def bad_feed_items(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(source_file, text) of what a tolerant scan skips; a broken item ends the reading of its file."""
+    """(source_file, text) of every item that a tolerant scan skips."""
     items = read_items(spark, path, glob)
-    # A scan of the rejected text alone is refused, so the condition reads a parsed field too.
-    shown = F.length(F.concat_ws("", CORRUPT, items.columns[0]))
-    return items.filter(F.col(CORRUPT).isNotNull() & (shown > 0)).select(
-        F.col("_file").alias("source_file"), F.col(CORRUPT).alias("text")
-    )
+    return items.filter(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("source_file"), F.col(CORRUPT).alias("text"))
 
 
-def scan_resumption_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All resumption files of a folder; they never enter the halt path."""
-    return scan_halt_feed(spark, folder, RESUMPTION, RESUMPTION_GLOB)
+def scan_resumption_files(spark: SparkSession, folder: str, glob: str = RESUMPTION_GLOB) -> DataFrame:
+    """All resumption files of a folder, none if there is no folder; they never enter the halt path."""
+    return scan_halt_feed(spark, folder, RESUMPTION, glob)
 
 
 def within_file_dates(events: DataFrame, start: date, end: date) -> DataFrame:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import html as _html
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
 
-from haltscope.functions.text import unwrap_viewer_url
+from haltscope.functions.text import unescape_once, unwrap_viewer_url
 
 ATOM_CONTENT = (
     "content struct<`accession-number`: string, `filing-date`: string, `filing-type`: string,"
@@ -32,11 +28,6 @@ ROW_NAME = r'(?s)<td scope="row">(.+?)<br'
 _SEP = "\x01"
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(_html.unescape, na_action="ignore")
-
-
 def filings_from_entries(entries: DataFrame) -> DataFrame:
     """Entries with a ``content`` struct -> filings; entries without content drop out."""
     c = F.col("content")
@@ -64,16 +55,15 @@ def filing_documents(pages: DataFrame, html_col: str = "html") -> DataFrame:
     tables = pages.filter(F.col(html_col).contains("tableFile")).select(
         *keep, F.explode(F.regexp_extract_all(html_col, F.lit(DOCUMENT_TABLE), F.lit(1))).alias("_table")
     )
-    rows = tables.select(*keep, F.explode(F.regexp_extract_all("_table", F.lit(TABLE_ROW), F.lit(1))).alias("_row"))
-    cells = rows.select(*keep, F.regexp_extract_all("_row", F.lit(TABLE_CELL), F.lit(1)).alias("_c")).filter(
-        F.size("_c") >= 5
-    )
+    # Cells are cut inside the array of rows, so that no filter can bring the patterns a second time.
+    cut = F.transform(F.regexp_extract_all("_table", F.lit(TABLE_ROW), F.lit(1)), lambda r: F.regexp_extract_all(r, F.lit(TABLE_CELL), F.lit(1)))
+    cells = tables.select(*keep, F.explode(F.filter(cut, lambda c: F.size(c) >= 5)).alias("_c"))
 
     # The five cells and the link travel as one text, so each row meets Python once.
     link = F.regexp_extract(F.get("_c", F.lit(2)), CELL_LINK, 1)
     packed = F.concat_ws(_SEP, *[F.get("_c", F.lit(i)) for i in range(5)])
     bare = F.regexp_replace(packed, r"(?s)<!--.*?-->|<[^>]*>", "")
-    row = cells.select(*keep, F.split(_unescape(F.concat_ws(_SEP, bare, link)), _SEP, -1).alias("_f"))
+    row = cells.select(*keep, F.split(unescape_once(F.concat_ws(_SEP, bare, link)), _SEP, -1).alias("_f"))
 
     def text(i: int) -> Column:
         return F.regexp_replace(F.get("_f", F.lit(i)), r"(?U)^\s+|\s+$", "")

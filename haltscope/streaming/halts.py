@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from haltscope.operators.canonical import canonical_halts
+from haltscope.operators.canonical import RESUMPTION_KEY, canonical_halts
 from haltscope.operators.episodes import OBSERVATION_KEY, dedup_observations
-from haltscope.operators.merge import enrich_episodes, enrich_halts, merge_halts, new_resumptions
-from haltscope.schemas import FEED_ITEM
-from haltscope.sources.feeds import CORRUPT, HALT, check_feed, events_from_items
+from haltscope.operators.merge import enrich_episodes, enrich_halts, merge_halts, new_rows
+from haltscope.sources.feeds import CORRUPT, HALT, ITEM_END, check_feed, events_from_items, items_of
 from haltscope.sources.versions import day_list, last_batch, read_current, with_day, write_batch
 from haltscope.streaming.frontier import episode_store_batch, read_episodes
 
@@ -19,15 +18,10 @@ from haltscope.streaming.frontier import episode_store_batch, read_episodes
 def read_feed_stream(spark: SparkSession, path: str, feed: str = HALT, files_per_batch: int | None = None) -> DataFrame:
     """New feed files as a stream of observations."""
     check_feed(feed)
-    reader = (
-        spark.readStream.format("xml")
-        .option("rowTag", "item")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(f"{FEED_ITEM}, {CORRUPT} string")
-    )
+    reader = spark.readStream.option("lineSep", ITEM_END)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    items = reader.load(path).select("*", F.col("_metadata.file_name").alias("_file"))
+    items = items_of(reader.text(path).select("value", F.col("_metadata.file_name").alias("_file")))
     return events_from_items(items.filter(F.col(CORRUPT).isNull()), F.col("_file"), F.lit(feed))
 
 
@@ -143,7 +137,8 @@ def late_resumption_batch(
         try:
             days = day_list(arrived)
             known = read_current(spark, resumptions_root, version, arrived.schema, days)
-            write_batch(known.unionByName(new_resumptions(known, arrived)), resumptions_root, version)
+            key = [c for c in RESUMPTION_KEY if c in arrived.columns]
+            write_batch(known.unionByName(new_rows(known, arrived, key)), resumptions_root, version)
             known = read_current(spark, resumptions_root, version + 1, arrived.schema, days).drop("halt_day")
             touched = read_current(spark, halts_root, version, None, days)
             write_batch(enrich_halts(touched, known, id_col).drop("raw_updated"), halts_root, version)

@@ -204,3 +204,26 @@ def test_days_without_a_session(spark, calendar):
     days = spark.createDataFrame([(date(2024, 1, 5),), (date(2024, 1, 6),), (date(2024, 1, 15),)], "d date")
     assert {str(r.d) for r in Q.not_session_days(days, "d", calendar).collect()} == {"2024-01-06", "2024-01-15"}
     assert Q.future_days(days, "d", F.lit("2024-01-06").cast("date")).count() == 2
+
+
+def test_calendar_bounds_come_from_the_data(spark):
+    at = [datetime(1999, 7, 6, 10), datetime(2040, 3, 1, 11), None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(at)], "k int, ts timestamp_ntz")
+    cal = CAL.calendar_for(spark, (rows, "ts"))
+    assert cal.agg(F.min("cal_date"), F.max("cal_date")).first() == (date(1998, 1, 1), date(2041, 12, 31))
+    found = {r.k: r.close_minute for r in CAL.on_calendar(rows, F.to_date("ts"), cal, close_minute="close_minute").collect()}
+    assert found == {0: 960, 1: 960, 2: None}
+    before = CAL.preceding_sessions(rows.select(F.to_date("ts").alias("d")), "d", cal, 2).collect()
+    assert {(r.d.year, r.session_date) for r in before} == {
+        (1999, date(1999, 7, 2)), (1999, date(1999, 7, 1)), (2040, date(2040, 2, 29)), (2040, date(2040, 2, 28))}
+    days = rows.select("k", F.lit(date(1999, 12, 30)).alias("a"), F.lit(date(2000, 1, 4)).alias("b"))
+    assert {r.n for r in CAL.sessions_count(days, F.col("a"), F.col("b"), cal, "n").collect()} == {4}
+
+
+def test_a_day_outside_the_calendar_is_an_error(spark):
+    rows = spark.createDataFrame([(datetime(2035, 1, 2, 10),)], "ts timestamp_ntz")
+    cal = CAL.trading_calendar(spark, date(2020, 1, 1), date(2030, 12, 31))
+    with pytest.raises(Exception, match="does not cover 2035-01-02"):
+        CAL.on_calendar(rows, F.to_date("ts"), cal, x="next_seq").collect()
+    with pytest.raises(Exception, match="begins too late"):
+        CAL.preceding_sessions(spark.createDataFrame([(date(2020, 1, 3),)], "d date"), "d", cal, 5).collect()

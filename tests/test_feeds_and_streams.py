@@ -50,6 +50,21 @@ def test_a_bad_file_is_skipped(spark, tmp_path):
     assert {r.symbol for r in feeds.scan_halt_feed(spark, str(tmp_path)).collect()} == {"A"}
 
 
+def test_bad_items_cost_no_good_ones(spark, tmp_path):
+    good = feed({"symbol": "A"}, {"symbol": "B"}, {"symbol": "C"}).split("<item>")
+    bad = ["ndaq:IssueSymbol>X</item>", "<item><ndaq:IssueSymbol>Y", "<item><a><b></a></b></item>"]
+    text = good[0] + "<item><" + bad[0] + "<item>" + good[1] + bad[1] + "<item>" + good[2] + bad[2] + "\n<item>" + good[3]
+    (tmp_path / "tradehalts_2024-01-05.xml").write_text(text)
+    (tmp_path / "tradehalts_2024-01-06.xml").write_text(feed({"symbol": "D"}) + "<item><ndaq:IssueSymbol>cut off")
+    assert {r.symbol for r in feeds.scan_halt_feed(spark, str(tmp_path)).collect()} == {"A", "B", "C", "D"}
+    rejects = feeds.bad_feed_items(spark, str(tmp_path)).collect()
+    assert sorted((r.source_file[-6:-4], "X" in r.text, "Y" in r.text) for r in rejects) == [
+        ("05", False, False), ("05", False, True), ("05", True, False), ("06", False, False)]
+    with pytest.raises(Exception):
+        feeds.scan_halt_feed(spark, str(tmp_path), tolerant=False).collect()
+    assert feeds.scan_resumption_files(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_file_dates(spark):
     names = ["tradehalts_2024-01-05.xml", "tradehalts_2024-01-06.xml", "tradehalts_2024-02-01.xml", "other.xml", "tradehalts_2024-13-01.xml"]
     files = spark.createDataFrame([(n,) for n in names], "source_file string")

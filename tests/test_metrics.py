@@ -3,7 +3,9 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from haltscope.functions import calendar as CAL
 from haltscope.operators import halt_days as D
+from haltscope.operators.halt_days import episode_days, halt_days
 from haltscope.operators import metrics as X
 
 EPISODE = ("symbol string, market string, reason_code string, halt_start timestamp_ntz, halt_end timestamp_ntz,"
@@ -141,3 +143,21 @@ def test_ticker_metrics(spark):
 def test_even_median(spark):
     rows = [ep("2024-01-08 10:00:00", f"2024-01-08 10:0{m}:00") for m in (1, 1, 4, 8)]
     assert D.exact_medians(spark.createDataFrame(rows, EPISODE), ["symbol"], "duration_minutes").first().median == 2.5
+
+
+def test_halts_of_any_year_and_across_a_calendars_bound(spark):
+    """Counts by a sweep equal a list of days, whatever the years; a day that is not covered is an error."""
+    at = lambda *x: datetime(*x)
+    rows = [("A", "T1", at(1999, 12, 30, 10), at(2000, 1, 4, 17)), ("A", "M", at(1999, 12, 31, 9), at(1999, 12, 31, 12)), ("A", "T1", at(2040, 1, 5, 10), None),
+            ("A", "T1", at(2000, 1, 1, 10), at(2000, 1, 2, 10)), ("B", None, at(2040, 1, 4, 10), at(2040, 1, 3, 10)), ("A", "M", at(2000, 1, 3, 9), at(2000, 1, 3, 16))]
+    eps = spark.createDataFrame(rows, "symbol string, reason_code string, halt_start timestamp_ntz, halt_end timestamp_ntz")
+    cal = CAL.calendar_for(spark, (eps, "halt_start"), (eps, "halt_end"))
+    got = {(r.symbol, str(r.trading_date)): (r.episode_count, r.halted_at_close, r.first_seen_count) for r in halt_days(eps, cal).collect()}
+    assert got == {
+        ("A", "1999-12-30"): (1, True, 1), ("A", "1999-12-31"): (2, True, 1), ("A", "2000-01-03"): (2, True, 1), ("A", "2000-01-04"): (1, True, 0),
+        ("A", "2040-01-05"): (1, True, 1), ("B", "2040-01-04"): (1, False, 1)}
+    listed = episode_days(eps, cal).groupBy("symbol", "trading_date").agg(
+        F.count("*").alias("n"), F.bool_or("halted_at_close").alias("c"), F.count_if("is_first_session").alias("f")).collect()
+    assert {(r.symbol, str(r.trading_date)): (r.n, r.c, r.f) for r in listed} == got
+    with pytest.raises(Exception, match="does not cover"):
+        halt_days(eps, CAL.trading_calendar(spark, date(2000, 1, 1), date(2045, 12, 31))).collect()
