@@ -51,15 +51,29 @@ def with_window(requests: DataFrame) -> DataFrame:
     )
 
 
+def _in_years(requests: DataFrame, days: DataFrame, day: Column, first: Column, last: Column) -> DataFrame:
+    """Requests (column ``symbol``), once for each ``_year`` of [first, last] in which their ticker may have rows.
+
+    A NULL ``first`` is as early as the ticker's first row. So requests meet the
+    years of their window only, however long the history of a ticker is.
+    """
+    known = days.groupBy("symbol").agg(F.min(F.year(day)).alias("_low"), F.max(F.year(day)).alias("_high"))
+    placed = spread_join(requests, known, ["symbol"], ["observation_date"], pieces=8)
+    low, high = F.greatest(F.year(first), F.col("_low")), F.least(F.year(last), F.col("_high"))
+    return placed.filter(low <= high).withColumn("_year", F.explode(F.sequence(low, high))).drop("_low", "_high")
+
+
 def episodes_for_requests(episodes: DataFrame, requests: DataFrame) -> DataFrame:
     """Episodes each request may see: same ticker, started by the end of T, reason allowed.
 
     An optional ``start_date`` on the request cuts earlier starts.
     """
-    wanted = normalize_requests(requests)
+    wanted = normalize_requests(requests).withColumnRenamed("ticker", "symbol")
+    first = F.col("start_date") if "start_date" in requests.columns else F.lit(None).cast("date")
+    wanted = _in_years(wanted, episodes, F.col("halt_start"), first, F.col("observation_date"))
     joined = spread_join(
-        episodes, wanted.withColumnRenamed("ticker", "symbol"), ["symbol"], ["halt_start"], pieces=8
-    )
+        episodes.withColumn("_year", F.year("halt_start")), wanted, ["symbol", "_year"], ["halt_start"], pieces=8
+    ).drop("_year")
     keep = F.to_date("halt_start") <= F.col("observation_date")
     if "start_date" in requests.columns:
         keep = keep & (F.col("start_date").isNull() | (F.to_date("halt_start") >= F.col("start_date")))
@@ -81,8 +95,11 @@ def request_halt_days(requests: DataFrame, episodes: DataFrame, calendar: DataFr
     bounds = with_window(requests)
     first_session = calendar.select(F.col("cal_date").alias("lookback_start"), F.col("next_session").alias("_s0"))
     bounds = bounds.join(F.broadcast(first_session), "lookback_start", "left")
+    # A halt day lies between the starts and the ends of its symbol's episodes.
+    ends = episodes.select("symbol", F.explode(F.array("halt_start", "halt_end")).alias("_day")).filter(F.col("_day").isNotNull())
+    bounds = _in_years(bounds.withColumnRenamed("ticker", "symbol"), ends, F.col("_day"), F.col("lookback_start"), F.col("lookback_end"))
     hits = spread_join(
-        bounds.withColumnRenamed("ticker", "symbol"), per_reason, ["symbol"], ["request_id"], pieces=8
+        bounds, per_reason.withColumn("_year", F.year("trading_date")), ["symbol", "_year"], ["request_id"], pieces=8
     ).filter(
         (F.col("trading_date") <= F.col("lookback_end"))
         & (F.col("lookback_start").isNull() | (F.col("trading_date") >= F.col("lookback_start")))
