@@ -154,6 +154,7 @@ def group_diagnostics(membership: DataFrame) -> DataFrame:
         F.size(F.collect_set(reason)).alias("reasons"),
     )
     one_market, one_reason = F.col("norm_markets") == 1, F.col("reasons") == 1
+    # The class names of the report.
     label = (
         F.when(F.col("raw_count") == 1, F.lit("ONE_TO_ONE"))
         .when(one_market & one_reason & (F.col("raw_markets") > 1), F.lit("MARKET_ALIAS_COLLAPSE"))
