@@ -210,12 +210,17 @@ EPISODE_VALUES = ["issue_name", "reason_code", "halt_end", "duration_minutes", "
 
 
 def merge_episodes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """New version of the episode table with an ``action`` per row. A NULL market is a market of its own."""
+    """New version of the episode table with an ``action`` per row.
+
+    A NULL market never equals a stored one, so such a row is inserted again
+    whenever it comes again. Live polls do not go this way: ``streaming.frontier``
+    keeps episodes without a market once.
+    """
     old = _prefixed(existing, "o_", [*EPISODE_KEY, *EPISODE_VALUES])
     new = _prefixed(incoming, "n_", [*EPISODE_KEY, *EPISODE_VALUES])
     same = F.lit(True)
     for k in EPISODE_KEY:
-        same = same & F.col(f"o_{k}").eqNullSafe(F.col(f"n_{k}"))
+        same = same & (F.col(f"o_{k}") == F.col(f"n_{k}"))
     joined = old.withColumn("o_present", F.lit(True)).join(
         new.withColumn("n_present", F.lit(True)), same, "full_outer"
     )
