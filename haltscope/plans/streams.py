@@ -173,6 +173,31 @@ def _(i: Inputs) -> DataFrame:
     return _drain(SB.stream_bars_tumbling(_stream_of(i.bars, i, "bars-in"), 5), i, "bars-out")
 
 
+# Three parts by minute, one after the other: most bars of the later ones come when their bucket is closed.
+@query("stream_bars_corrected", """
+SELECT * FROM (
+WITH parts AS (
+  SELECT *, minute(bar_start) % 3 AS part, date_trunc('day', bar_start) + to_minutes(((hour(bar_start) * 60 + minute(bar_start)) // 5) * 5) AS bucket_start
+  FROM bars),
+placed AS (
+  SELECT p.*, coalesce(bucket_start + INTERVAL 5 MINUTE <= (SELECT max(bar_start) FROM parts q WHERE q.part < p.part) - INTERVAL 10 MINUTE, false) AS late
+  FROM parts p)
+SELECT ticker, bucket_start, bucket_start + INTERVAL 5 MINUTE AS bucket_end, first(open ORDER BY bar_start) AS open, max(high) AS high,
+       min(low) AS low, last("close" ORDER BY bar_start) AS "close", CAST(sum(volume) AS BIGINT) AS volume,
+       CAST(count(*) FILTER (WHERE late) AS BIGINT) AS late_bars
+FROM placed GROUP BY ticker, bucket_start
+HAVING bucket_start + INTERVAL 5 MINUTE <= (SELECT max(bar_start) FROM bars) - INTERVAL 10 MINUTE)""")
+def _(i: Inputs) -> DataFrame:
+    source, root, checkpoint = (work_dir(i.spark, f"corrected-{n}") for n in ("in", "out", "cp"))
+    for part in range(3):
+        i.bars.filter(F.minute("bar_start") % 3 == part).write.mode("append").parquet(source)
+        SB.stream_bars_corrected(i.spark.readStream.schema(i.bars.schema).parquet(source), root, 5, checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+    late = SB.read_bars_aside(i.spark, root).filter(F.col("why") == "late").groupBy("ticker", "bucket_start").agg(F.count("*").alias("n"))
+    return SB.closed_buckets(SB.read_bar_changes(i.spark, root)).join(late, ["ticker", "bucket_start"], "left").withColumn(
+        "late_bars", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+
+
 @query("point_in_time_features", """
 SELECT ticker, CAST(bar_start AS DATE) AS trading_day, count(*) AS visible_bars, max(bar_start) AS last_bar, max(high) AS session_high,
        min(low) AS session_low, CAST(sum(volume) AS BIGINT) AS session_volume,

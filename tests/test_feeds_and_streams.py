@@ -1,8 +1,10 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from haltscope.operators.bars import aggregate_bars
 from haltscope.operators.episodes import halt_episodes
 from haltscope.sources import feeds, versions
 from haltscope.streaming import bars as SB
@@ -165,3 +167,40 @@ def test_only_closed_buckets_are_appended(spark, tmp_path):
     got = {str(r.bucket_start.time()): (r.open, r.close, r.volume) for r in spark.read.parquet(out).collect()}
     # Newest bar 10:20, so the watermark stands at 10:10.
     assert got == {"10:00:00": (1.0, 5.5, 30), "10:05:00": (6.0, 6.5, 10)}
+
+
+def test_late_bars_correct_their_closed_bucket(spark, tmp_path):
+    schema = "ticker string, bar_start timestamp_ntz, open double, high double, low double, close double, volume long"
+    dice = random.Random(5)
+    rows = [(t, datetime(2024, 1, 5 + d, 23 * (d == 0), m), float(dice.randint(1, 9)), float(dice.randint(10, 12)), float(dice.randint(0, 1)),
+             float(dice.randint(1, 9)), dice.randint(0, 50)) for t in ("A", "B", None) for d in (0, 1, 3) for m in range(60) if dice.random() < 0.7]
+    dice.shuffle(rows)
+    # A copy changes nothing; a later version of a minute replaces the one before; one bar has no time.
+    extra = [rows[0], (*rows[1][:6], rows[1][6] + 100), ("A", None, 1.0, 1.0, 1.0, 1.0, 1)]
+    source, root, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    size = len(rows) // 2 + 1
+    for part in [rows[k:k + size] for k in range(0, len(rows), size)] + [extra]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    step = SB.corrected_buckets_batch(root, 5)
+
+    def twice(batch, batch_id):
+        step(batch, batch_id)
+        if batch_id == 1:
+            step(batch, batch_id)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run(stream.writeStream.foreachBatch(twice).option("checkpointLocation", cp))
+    final = [r for r in rows if r[:2] != rows[1][:2]] + [extra[1]]
+    newest = max(r[1] for r in final)
+    plain = aggregate_bars(spark.createDataFrame(final, schema), 5)
+    key = ["ticker", "bucket_start", "bucket_end", "open", "high", "low", "close", "volume"]
+    want = sorted(map(repr, (tuple(r) for r in plain.filter(F.col("bucket_end") <= newest - timedelta(minutes=10)).select(*key).collect())))
+    changes = SB.read_bar_changes(spark, root)
+    assert sorted(map(repr, (tuple(r) for r in SB.closed_buckets(changes).select(*key).collect()))) == want
+    # Adding up inserts and retractions gives the same rows, each once.
+    net = changes.groupBy(*key).agg(F.sum("op").alias("n")).filter("n <> 0").collect()
+    assert {r.n for r in net} == {1} and sorted(repr(tuple(r)[:-1]) for r in net) == want
+    assert changes.filter("op = -1").count() > 0
+    aside = SB.read_bars_aside(spark, root)
+    assert aside.filter("why = 'no time'").count() == 1 and aside.filter("why = 'late'").count() > 0
+    assert sorted(SB._stored_days(spark, root, 99)) == [date(2024, 1, 5), date(2024, 1, 6), date(2024, 1, 8)]
