@@ -7,7 +7,9 @@ writes them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from haltscope.functions.clean import (
     blank_to_null,
@@ -44,6 +46,7 @@ RESOLUTION_KEY = ["ticker", "retrieved_at"]
 EPISODE_KEY = ["symbol", "market", "halt_start"]
 
 INSERTED, UPDATED, UNCHANGED, STORED = "INSERTED", "UPDATED", "UNCHANGED", "STORED"
+SKIPPED = "SKIPPED"
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -77,7 +80,7 @@ def insert_outcome(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     joined = fresh.join(stored, null_safe(fresh, stored, keys), "left")
     return joined.select(
         *[fresh[k] for k in keys],
-        F.when(F.col("_stored"), F.lit("SKIPPED")).otherwise(F.lit(INSERTED)).alias("action"),
+        F.when(F.col("_stored"), F.lit(SKIPPED)).otherwise(F.lit(INSERTED)).alias("action"),
     )
 
 
@@ -316,3 +319,22 @@ def enrich_episodes(episodes: DataFrame, links: DataFrame, halts: DataFrame) ->
 def outcome_counts(merged: DataFrame) -> DataFrame:
     """Rows per action of a merge."""
     return merged.groupBy("action").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def write_counted(merged: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Write a merge and count its actions in the pass that writes it.
+
+    ``write`` gets the rows with their ``action`` and runs one job on them; the
+    merge is not run again for the counts. Returns action and row_count of the
+    actions that occur; fails if a row has another action than the five.
+    """
+    actions = (INSERTED, UPDATED, UNCHANGED, STORED, SKIPPED)
+    seen = Observation()
+    write(merged.observe(
+        seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("action") == a).alias(a) for a in actions]))
+    # Where Spark finds that there are no rows it drops the counters too; ``get`` fails then.
+    found = dict(seen._jo.getAsJava()) or dict.fromkeys(("rows", *actions), 0)
+    if found["rows"] != sum(found[a] for a in actions):
+        raise ValueError("a merged row without a known action")
+    return merged.sparkSession.createDataFrame(
+        [(a, found[a]) for a in actions if found[a]], "action string, row_count long")

@@ -261,7 +261,8 @@ def _(i: Inputs) -> DataFrame:
 
 @query("load_outcome_counts", f"SELECT action, count(*) AS row_count FROM ({_MERGED_ACTION}) GROUP BY action")
 def _(i: Inputs) -> DataFrame:
-    return M.outcome_counts(M.merge_halts(i.stored_halts, i.incoming_halts))
+    table = work_dir(i.spark, "loaded-halts")
+    return M.write_counted(M.merge_halts(i.stored_halts, i.incoming_halts), lambda rows: tables.write_version(rows.drop("action"), table))
 
 
 @query("lookup_existing_halts", """

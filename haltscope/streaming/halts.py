@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from haltscope.operators.canonical import RESUMPTION_KEY, canonical_halts
 from haltscope.operators.episodes import OBSERVATION_KEY, dedup_observations
-from haltscope.operators.merge import enrich_episodes, enrich_halts, merge_halts, new_rows
+from haltscope.operators.merge import enrich_episodes, enrich_halts, merge_halts, new_rows, write_counted
 from haltscope.sources.feeds import CORRUPT, HALT, ITEM_END, check_feed, events_from_items, items_of
 from haltscope.sources.versions import day_list, last_batch, read_current, with_day, write_batch
 from haltscope.streaming.frontier import episode_store_batch, read_episodes
@@ -45,7 +45,7 @@ ORDER = ["source_file", "halt_start", "halt_end"]
 
 
 def ingest_batch(
-    halts_root: str, episodes_root: str, order_cols: list[str], rejects_root: str | None = None
+    halts_root: str, episodes_root: str, order_cols: list[str], rejects_root: str | None = None, outcomes_root: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: upsert one snapshot into the halt and episode tables.
 
@@ -54,14 +54,18 @@ def ingest_batch(
     poll left open is the same episode in the next one, and observations without
     a market form episodes of their own. Observations that cannot be stored as
     halts (no start, market or reason) are written to ``rejects_root`` with what
-    is missing.
+    is missing. ``outcomes_root`` gets the number of rows inserted, updated and left
+    alone by each batch, counted in the pass that writes the halts.
     """
     merge_episodes = episode_store_batch(episodes_root, order_cols)
 
     def upsert_halts(rows: DataFrame, batch_id: int) -> None:
         incoming = with_day(rows)
         existing = read_current(rows.sparkSession, halts_root, batch_id, incoming.schema, day_list(incoming))
-        write_batch(with_day(merge_halts(existing, incoming).drop("action")), halts_root, batch_id)
+        counts = write_counted(
+            merge_halts(existing, incoming), lambda merged: write_batch(with_day(merged.drop("action")), halts_root, batch_id))
+        if outcomes_root:
+            counts.coalesce(1).write.mode("overwrite").parquet(f"{outcomes_root}/batch={batch_id}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         snapshot = dedup_observations(batch, order_cols).persist()
@@ -83,11 +87,11 @@ def ingest_batch(
 
 def live_halt_ingest(
     events: DataFrame, halts_root: str, episodes_root: str, checkpoint: str, order_cols: list[str] = ORDER,
-    rejects_root: str | None = None,
+    rejects_root: str | None = None, outcomes_root: str | None = None,
 ) -> DataStreamWriter:
     """Stream of observations -> stored halts and episodes. Start it with a trigger of your choice."""
     return (
-        events.writeStream.foreachBatch(ingest_batch(halts_root, episodes_root, order_cols, rejects_root))
+        events.writeStream.foreachBatch(ingest_batch(halts_root, episodes_root, order_cols, rejects_root, outcomes_root))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )

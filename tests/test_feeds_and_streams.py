@@ -134,12 +134,13 @@ def test_open_halts_over_batches_in_any_order(spark, tmp_path):
 
 
 def test_first_poll_without_a_usable_row(spark, tmp_path):
-    source, halts, episodes, cp, rejects = (str(tmp_path / n) for n in ("in", "halts", "episodes", "cp", "rejects"))
+    source, halts, episodes, cp, rejects, loads = (str(tmp_path / n) for n in ("in", "halts", "episodes", "cp", "rejects", "loads"))
     (tmp_path / "in").mkdir()
     for name, item in (("tradehalts_1.xml", {"symbol": "X", "reason": None}), ("tradehalts_2.xml", {"symbol": "B"})):
         text = feed(item) if item.get("reason", 1) else feed({"symbol": "X"}).replace("ReasonCode", "Other")
         (tmp_path / "in" / name).write_text(text)
-        run(SH.live_halt_ingest(SH.read_feed_stream(spark, source), halts, episodes, cp, ["source_file", "halt_end"], rejects))
+        run(SH.live_halt_ingest(SH.read_feed_stream(spark, source), halts, episodes, cp, ["source_file", "halt_end"], rejects, loads))
+    assert [(r.action, r.row_count) for r in spark.read.parquet(f"{loads}/batch=*").collect()] == [("INSERTED", 1)]
     assert [r.symbol for r in versions.read_current(spark, halts).collect()] == ["B"]
     assert [(r.symbol, r.missing) for r in spark.read.parquet(rejects).collect()] == [("X", ["reason_code"])]
 

@@ -166,3 +166,15 @@ def test_domain_rules(spark):
                                  "id long, halt_start timestamp_ntz, halt_end timestamp_ntz, duration_minutes double, halt_close_status string")
     assert {(r.id, r.violation) for r in Q.episode_domain_violations(rows).collect()} == {
         (1, "end_before_start"), (1, "negative_duration"), (1, "unknown_status")}
+
+
+def test_outcomes_are_counted_by_the_write(spark, tmp_path):
+    schema = "symbol string, market string, halt_start timestamp_ntz, reason_code string, n long, action string"
+    rows = [("A", "Q", None, "T1", k, a) for k, a in enumerate(["INSERTED"] * 3 + ["STORED"])]
+    for k, some in enumerate((rows, [])):
+        merged = spark.createDataFrame(some, schema).repartition(3, "n")
+        counts = M.write_counted(merged, lambda out, k=k: out.drop("action").write.parquet(str(tmp_path / f"t{k}")))
+        assert {r.action: r.row_count for r in counts.collect()} == ({"INSERTED": 3, "STORED": 1} if some else {})
+        assert spark.read.schema("symbol string, n long").parquet(str(tmp_path / f"t{k}")).count() == len(some)
+    with pytest.raises(ValueError):
+        M.write_counted(spark.createDataFrame([("A", "Q", None, "T1", 1, "LOST")], schema), lambda out: out.write.format("noop").mode("append").save())
