@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 LOG = "_log"
+STEPS = "_steps"
 _NO_DAY_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -129,6 +130,22 @@ def write_batch(rows: DataFrame, root: str, batch_id: int, touched: Iterable[dat
     _retire(spark, root, batch_id)
 
 
+def write_step(rows: DataFrame, root: str, batch_id: int, name: str) -> DataFrame:
+    """An intermediate table of a batch, written once and read back.
+
+    Plans behind it run none of its work again and know its size; a persisted
+    table would keep the partitions of the stream's plan in all of them.
+    """
+    path = f"{root.rstrip('/')}/{STEPS}/batch={batch_id}/{name}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def forget_steps(spark: SparkSession, root: str, batch_id: int) -> None:
+    where, fs = files(spark, f"{root.rstrip('/')}/{STEPS}/batch={batch_id}")
+    fs.delete(where, True)
+
+
 def _written(spark: SparkSession, root: str, batch_id: int) -> list[date | None]:
     """Days whose folder has this batch's version: two listings, whatever the number of batches."""
     where, fs = files(spark, f"{root}/halt_day=*/batch={batch_id}")

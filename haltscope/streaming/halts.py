@@ -11,7 +11,7 @@ from haltscope.operators.canonical import RESUMPTION_KEY, canonical_halts
 from haltscope.operators.episodes import OBSERVATION_KEY, dedup_observations
 from haltscope.operators.merge import enrich_episodes, enrich_halts, merge_halts, new_rows, write_counted
 from haltscope.sources.feeds import CORRUPT, HALT, ITEM_END, check_feed, events_from_items, items_of
-from haltscope.sources.versions import day_list, last_batch, read_current, with_day, write_batch
+from haltscope.sources.versions import day_list, forget_steps, last_batch, read_current, with_day, write_batch, write_step
 from haltscope.streaming.frontier import episode_store_batch, read_episodes
 
 
@@ -57,7 +57,7 @@ def ingest_batch(
     is missing. ``outcomes_root`` gets the number of rows inserted, updated and left
     alone by each batch, counted in the pass that writes the halts.
     """
-    merge_episodes = episode_store_batch(episodes_root, order_cols)
+    merge_episodes = episode_store_batch(episodes_root, order_cols, unique=True)
 
     def upsert_halts(rows: DataFrame, batch_id: int) -> None:
         incoming = with_day(rows)
@@ -68,8 +68,9 @@ def ingest_batch(
             counts.coalesce(1).write.mode("overwrite").parquet(f"{outcomes_root}/batch={batch_id}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        snapshot = dedup_observations(batch, order_cols).persist()
+        spark = batch.sparkSession
         try:
+            snapshot = write_step(dedup_observations(batch, order_cols), halts_root, batch_id, "snapshot")
             missing = F.filter(
                 F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("halt_start", "market", "reason_code")]), lambda c: c.isNotNull()
             )
@@ -77,10 +78,10 @@ def ingest_batch(
             if rejects_root:
                 refused = snapshot.withColumn("missing", missing).filter(F.size("missing") > 0)
                 refused.write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
-            upsert_halts(canonical_halts(usable, order_cols), batch_id)
+            upsert_halts(write_step(canonical_halts(usable, order_cols), halts_root, batch_id, "canonical"), batch_id)
             merge_episodes(snapshot, batch_id)
         finally:
-            snapshot.unpersist()
+            forget_steps(spark, halts_root, batch_id)
 
     return run
 

@@ -145,6 +145,26 @@ def test_first_poll_without_a_usable_row(spark, tmp_path):
     assert [(r.symbol, r.missing) for r in spark.read.parquet(rejects).collect()] == [("X", ["reason_code"])]
 
 
+def test_polls_do_not_keep_the_partitions_of_the_stream(spark, tmp_path):
+    schema = ("k long, symbol string, market string, reason_code string, halt_start timestamp_ntz, halt_end timestamp_ntz, issue_name string,"
+              " pause_threshold_price double, resumption_date date, resumption_quote_time string, resumption_trade_time string, source_file string")
+    source, halts, episodes, cp = (str(tmp_path / n) for n in ("in", "halts", "episodes", "cp"))
+    rows = [(j, f"S{j % 20}", "Q", "T1", datetime(2024, 1, 5, 10, j // 20), None, None, None, None, None, None, "f") for j in range(40)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    done = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalTasks()
+    before, usual = done(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        run(SH.live_halt_ingest(stream, halts, episodes, cp, ["k"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert done() - before < 500
+    stored = SH.read_open_halts(spark, episodes).collect()
+    assert len(stored) == 20 and {(r.halt_start, r.observation_count) for r in stored} == {(datetime(2024, 1, 5, 10), 2)}
+    assert not list(tmp_path.glob("*/_steps/*"))
+
+
 def test_an_earlier_resumption_takes_nothing_back(spark, tmp_path):
     halts, seen, cp, source = (str(tmp_path / n) for n in ("halts", "seen", "cp", "in"))
     schema = ("id long, symbol string, market string, halt_start timestamp_ntz, reason_code string, resumption_date date,"
