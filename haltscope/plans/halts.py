@@ -853,7 +853,7 @@ SELECT (SELECT count(*) FROM links) AS link_count, (SELECT count(*) FROM episode
        (SELECT count(*) FROM (SELECT 1 FROM links GROUP BY trade_halt_id HAVING count(*) > 1)) AS raw_in_two_episodes,
        (SELECT count(*) FROM (SELECT 1 FROM links GROUP BY episode_id HAVING count(*) > 1)) AS multi_raw_episodes""")
 def _(i: Inputs) -> DataFrame:
-    return Q.link_outcome(i.links, i.saved("episodes"), i.unique_obs)
+    return Q.link_outcome(i.links, E.episodes_of(i.saved("members"), ["obs_id"]), i.saved("unique_obs"))
 
 
 @query("expected_vs_returned_ids", """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from haltscope.operators import episodes as E
 from haltscope.operators import quality as Q
+from haltscope.plans.derive import Inputs
 
 SCHEMA = (
     "obs_id long, symbol string, issue_name string, market string, reason_code string, halt_start timestamp_ntz,"
@@ -171,3 +172,11 @@ def test_group_classes(spark):
     groups = Q.group_diagnostics(E.episode_membership(obs(spark, rows)))
     assert {r.symbol: r.classification for r in groups.collect()} == {
         "A": "MARKET_ALIAS_COLLAPSE", "B": "SAME_MARKET_DIFFERENT_REASON", "C": "ONE_TO_ONE"}
+
+
+def test_episodes_ids_and_links_come_from_one_membership(spark):
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    links = i.links.groupBy("episode_id").agg(F.min("trade_halt_id").alias("low"), F.count("*").alias("n")).collect()
+    assert set(i._saved) == {"unique_obs", "members", "id_episodes", "id_links"}  # each made once
+    episodes = {r.episode_id: r.observation_count for r in i.core_episodes.collect()}
+    assert episodes == {r.episode_id: r.n for r in links} and all(r.low == r.episode_id for r in links)
