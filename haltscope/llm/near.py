@@ -38,6 +38,8 @@ REACH = 4.5
 BLOCK = 8192
 # Counters by which shingles are called rare; two that share one only get a less useful order.
 COUNTERS = 1 << 18
+# Bits per node by which the rows to be read again are told apart, and the most bits there are.
+ROW_BITS, MOST_BITS = 16, 1 << 25
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.empty(0, np.uint64)
@@ -139,6 +141,24 @@ def sketch(docs: DataFrame, words: int, sketcher: Sketcher) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, mark long, node long, n_shingles long, keys array<long>, signature array<long>")
 
 
+def _maybe_wanted(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (doc_id, mark, ...) that may be those of ``nodes``: all that are, and few others.
+
+    Hashes of the wanted rows set bits of a table that is sent to the tasks, so
+    the texts of all other rows are not shuffled. Beyond ``MOST_BITS`` bits more
+    of the others pass; the join behind it decides.
+    """
+    size, bits = nodes.count() * ROW_BITS, 64
+    while bits < min(size, MOST_BITS):
+        bits *= 2
+    slot = F.xxhash64("doc_id", "mark").bitwiseAND(F.lit(bits - 1))
+    word, place = F.shiftright("_slot", 6), F.col("_slot").bitwiseAND(F.lit(63)).cast("int")
+    table = nodes.select(slot.alias("_slot")).groupBy(word.alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
+    marked = rows.withColumn("_slot", slot).join(F.broadcast(table), word == F.col("_word"))
+    return marked.filter(F.getbit("_bits", place) == 1).drop("_slot", "_word", "_bits")
+
+
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of some nodes, read again from the text of one document each."""
 
@@ -150,8 +170,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 ["node", "found", "shingles"])
 
     wanted = nodes.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "node")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
-    rows = docs.select("doc_id", "text").join(wanted, same).select("node", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+    rows = _maybe_wanted(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), nodes).join(wanted, same).select("node", "text")
     found = rows.mapInArrow(run, "node long, found long, shingles array<long>").filter("node = found")
     return found.select("node", "shingles").dropDuplicates(["node"])
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haltscope.llm import bpe, near, scoring
 
@@ -109,6 +110,17 @@ def test_near_form_letters(spark):
     assert got == want
 
 
+def test_near_texts_of_other_rows_are_not_shuffled(spark):
+    """The second reading meets the rows it is for and few others, whatever their ids."""
+    texts = [(k if k % 3 else None, f"text {k} " + "word " * (k % 50)) for k in range(4000)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").withColumn("mark", F.xxhash64("text"))
+    nodes = rows.filter("text rlike '^text [0-9]+7 '")
+    found = near._maybe_wanted(rows, nodes)
+    assert found.columns == rows.columns
+    assert nodes.exceptAll(found).isEmpty() and found.exceptAll(rows).isEmpty()
+    assert found.count() < 400 + 0.15 * 3600
+
+
 def test_near_odd_rows(odd, nothing):
     rows = near.near_copies(odd).collect()
     assert len(rows) == odd.count()
