@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haltscope.operators import merge as M
@@ -38,9 +38,10 @@ def _items(i: Inputs, rows: DataFrame | None = None) -> DataFrame:
 
 def _as_document(batches):
     """Wrap the items of one output file in a root element."""
-    yield pd.DataFrame({"value": ['<rss xmlns:ndaq="http://www.nasdaqtrader.com/"><channel>']})
-    yield from batches
-    yield pd.DataFrame({"value": ["</channel></rss>"]})
+    yield pa.RecordBatch.from_pydict({"value": ['<rss xmlns:ndaq="http://www.nasdaqtrader.com/"><channel>']})
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+    yield pa.RecordBatch.from_pydict({"value": ["</channel></rss>"]})
 
 
 def _write_feed(items: DataFrame, folder: str, before: Column | None = None) -> None:
@@ -50,7 +51,7 @@ def _write_feed(items: DataFrame, folder: str, before: Column | None = None) ->
     ]
     line = F.concat(F.lit("<item>"), F.concat_ws("", *fields), F.lit("</item>"))
     line = line if before is None else F.concat(before, line)
-    items.select(line.alias("value")).mapInPandas(_as_document, "value string").write.mode("append").text(folder)
+    items.select(line.alias("value")).mapInArrow(_as_document, "value string").write.mode("append").text(folder)
 
 
 def _feed(i: Inputs, label: str, rows: DataFrame | None = None) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from haltscope.functions.clean import blank_to_null
 from haltscope.functions.times import filename_date, parse_feed_date, parse_feed_datetime, parse_feed_time
-from haltscope.schemas import FEED_ITEM, FEED_PREFIX
+from haltscope.schemas import FEED_FIELDS, FEED_ITEM, FEED_PREFIX
 from haltscope.sources.versions import files
 
 HALT, RESUMPTION = "halt", "resumption"
@@ -38,15 +38,18 @@ def market_fallback(mkt: Column, market: Column) -> Column:
 def events_from_items(items: DataFrame, source_file: Column, source_type: Column) -> DataFrame:
     """Feed items (``ndaq:*`` text columns) -> observations; items without a symbol drop out."""
 
+    # Each field is cleaned once; what follows reads it several times.
+    items = items.select("*", *[blank_to_null(F.col(f"`{FEED_PREFIX}{name}`")).alias(f"_{name}") for name in FEED_FIELDS])
+
     def field(name: str) -> Column:
-        return blank_to_null(F.col(f"`{FEED_PREFIX}{name}`"))
+        return F.col(f"_{name}")
 
     halt_reason, resumption_reason = route_reason(field("ReasonCode"), source_type)
     trade, quote = field("ResumptionTradeTime"), field("ResumptionQuoteTime")
     return items.select(
         field("IssueSymbol").alias("symbol"),
         field("IssueName").alias("issue_name"),
-        market_fallback(F.col(f"`{FEED_PREFIX}Mkt`"), F.col(f"`{FEED_PREFIX}Market`")).alias("market"),
+        F.coalesce(field("Mkt"), field("Market")).alias("market"),
         halt_reason.alias("reason_code"),
         resumption_reason.alias("resumption_reason_code"),
         field("HaltDate").alias("halt_date"),
@@ -79,8 +82,9 @@ def items_of(records: DataFrame, tolerant: bool = True) -> DataFrame:
     pieces = records.select("_file", F.posexplode(cut).alias("_at", "_text"), F.size(cut).alias("_n"))
     closed = F.when(F.col("_at") == F.col("_n") - 1, F.concat("_text", F.lit(ITEM_END))).otherwise(F.col("_text"))
     options = {"mode": "PERMISSIVE" if tolerant else "FAILFAST", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = pieces.select(F.from_xml(closed, f"{FEED_ITEM}, {CORRUPT} string", options).alias("_item"), "_file")
-    return parsed.select("_item.*", "_file")
+    # Parsed inside an array, so that no filter behind it brings the parser a second time.
+    item = F.from_xml(closed, f"{FEED_ITEM}, {CORRUPT} string", options)
+    return pieces.select(F.inline(F.array(item)), "_file")
 
 
 def read_items(spark: SparkSession, path: str, glob: str | None = None, tolerant: bool = True) -> DataFrame:

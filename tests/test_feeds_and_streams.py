@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from haltscope.operators.bars import aggregate_bars
 from haltscope.operators.episodes import halt_episodes
+from haltscope.schemas import FEED_FIELDS
 from haltscope.sources import feeds, versions
 from haltscope.streaming import bars as SB
 from haltscope.streaming import halts as SH
@@ -133,6 +134,16 @@ def test_open_halts_over_batches_in_any_order(spark, tmp_path):
     assert ("A", "NASDAQ", d(9, 0), d(9, 10), ("T1",), False) in got and len(got) == 4
 
 
+def test_a_scan_parses_and_cleans_each_item_once(spark, tmp_path):
+    (tmp_path / "tradehalts_1.xml").write_text(feed({"symbol": " A\u2003"}, {"symbol": "\u00a0"}, {"symbol": "B \t C", "start": "10: 00:01", "day": " 1/5/2024", "trade": "1 0:30:00"}))
+    found = feeds.scan_halt_feed(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1 and plan.count("^\\s+|\\s+$") <= len(FEED_FIELDS) + 2  # the symbol again, for its filter
+    rows = [(r.symbol, r.halt_start, r.resumption_date, r.resumption_trade_time, r.halt_end) for r in found.orderBy("symbol").collect()]
+    assert rows == [("A", datetime(2024, 1, 5, 10, 0, 0, 500000), None, None, None),
+                    ("B \t C", datetime(2024, 1, 5, 10, 0, 1), date(2024, 1, 5), "10:30:00", datetime(2024, 1, 5, 10, 30))]
+
+
 def test_first_poll_without_a_usable_row(spark, tmp_path):
     source, halts, episodes, cp, rejects, loads = (str(tmp_path / n) for n in ("in", "halts", "episodes", "cp", "rejects", "loads"))
     (tmp_path / "in").mkdir()
