@@ -44,6 +44,19 @@ def test_table_is_normalised_and_learns_order():
     assert table[2, 3, 2] > table[2, 3, 3] and table[3, 2, 3] > table[3, 2, 2]
 
 
+def test_rare_words_have_classes_of_their_own(spark):
+    """Words that occur once or never are told apart by what stands before them, and frequent ones leave no room out."""
+    common = [f"c{k:03d}" for k in range(300)]
+    rows = [(i, " ".join(w for k in range(20) for w in (rngs.choice(common), f"r{i}x{k}zz", f"r{i}x{k}qq"))) for i, rngs in
+            ((i, random.Random(i)) for i in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = scoring.LanguageModel(docs.select("text"))
+    assert model.vocabulary.mass.sum() == pytest.approx(sum(len(t.split()) + 1 for _, t in rows) + 0.1 * (8301 + scoring.CLASSES))
+    probe = spark.createDataFrame([(1, "c001 newzz newqq"), (2, "c001 newqq newzz")], "doc_id long, text string")
+    right, wrong = (r.score for r in scoring.score_texts(probe, model).orderBy("doc_id").collect())
+    assert right > wrong + 1
+
+
 def test_score_odd_rows(odd, nothing):
     rows = scoring.score_corpus(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
