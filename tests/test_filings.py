@@ -236,3 +236,23 @@ def test_csv_has_a_header_even_when_empty(spark, tmp_path):
     path = str(tmp_path / "out")
     tables.export_csv(spark.createDataFrame([], "a string, b long"), path)
     assert spark.read.option("header", True).csv(path).columns == ["a", "b"]
+
+
+def test_exhibits_of_pages_sort_no_pages(spark):
+    """The rows of exhibit_rows, for repeated filings too, and no sort that would hold whole pages."""
+    filings = spark.createDataFrame(
+        [("1", "a", "Item 1.01", "u1"), ("1", "a", "Item 3.02", "u2"), ("2", "b", "Item 8.01", "u3"), ("3", "c", "1.01", None), ("4", "d", "3.02", "u4")],
+        "cik string, accession_number string, item_codes string, filing_index_url string")
+    row = "<tr><td>{}</td><td>{}</td><td><a href='/x{}'>f</a></td><td>{}</td><td>1</td></tr>"
+    html = "<table class='tableFile'>" + row.format(1, "8-K", 1, "8-K") + row.format(2, "Form of Warrant", 2, "EX-10") + row.format(3, "plan", 3, "ex-4.2") + "</table>"
+    pages = spark.createDataFrame([(a, html) for a in "abcde"], "accession_number string, html string")
+    want = O.exhibit_rows(filings, S.filing_documents(pages))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = O.exhibits_of_pages(filings, pages)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(str, got.select(*want.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == sorted(map(str, want.collect())) and len(rows) == 6
+    assert "SortMergeJoin" not in plan and plan.count("Join") == 1
