@@ -67,10 +67,15 @@ def distinct_on(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key is not stored yet, one per key. Stored rows always win."""
-    fresh = distinct_on(incoming, keys)
-    stored = existing.select(*keys)
-    return fresh.join(stored, null_safe(fresh, stored, keys), "left_anti")
+    """Incoming rows whose key is not stored yet, one per key. Stored rows always win.
+
+    One aggregate over both: incoming rows travel once, stored ones with their key alone.
+    """
+    rest = [c for c in incoming.columns if c not in keys]
+    arrived = incoming.select(*keys, F.struct(F.lit(True), *rest).alias("_row"), F.lit(False).alias("_stored"))
+    stored = existing.select(*keys, F.lit(None).cast(arrived.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_stored"))
+    picked = arrived.unionByName(stored).groupBy(*keys).agg(F.min("_row").alias("_row"), F.bool_or("_stored").alias("_known"))
+    return picked.filter(~F.col("_known")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*incoming.columns)
 
 
 def insert_outcome(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,7 +191,9 @@ def new_resumptions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def enrich_halts(halts: DataFrame, resumptions: DataFrame, id_col: str) -> DataFrame:
     """Halts with their latest valid resumption; ``raw_updated`` marks changed rows."""
-    best = latest_resumptions(resumptions, id_col).select(
+    # No other column of the resumptions travels.
+    wanted = dict.fromkeys(["symbol", "market", "halt_start", *RESUMPTION_BLOCK, id_col])
+    best = latest_resumptions(resumptions.select(*wanted), id_col).select(
         "symbol", "market", "halt_start", *[F.col(c).alias(f"n_{c}") for c in RESUMPTION_BLOCK],
         F.lit(True).alias("_hit"),
     )

@@ -178,3 +178,15 @@ def test_outcomes_are_counted_by_the_write(spark, tmp_path):
         assert spark.read.schema("symbol string, n long").parquet(str(tmp_path / f"t{k}")).count() == len(some)
     with pytest.raises(ValueError):
         M.write_counted(spark.createDataFrame([("A", "Q", None, "T1", 1, "LOST")], schema), lambda out: out.write.format("noop").mode("append").save())
+
+
+def test_new_rows_take_one_shuffle_each(spark):
+    """Incoming rows are sent once and stored rows with their key alone; NULL keys are equal, and so are NULL contents."""
+    kinds = "a string, b int, v string"
+    stored = spark.createDataFrame([("x", None, "old"), ("y", 1, None)], kinds)
+    incoming = spark.createDataFrame([("x", None, "new"), ("y", 2, "q"), ("y", 2, "p"), (None, None, None), (None, None, None)], kinds)
+    got = M.new_rows(stored, incoming, ["a", "b"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == [("y", 2, "p"), (None, None, None)]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(M.new_rows(stored, incoming.select("a", "b"), ["a", "b"]).collect(), key=str) == [("y", 2), (None, None)]
