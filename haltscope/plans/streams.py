@@ -235,6 +235,7 @@ SELECT symbol, market, halt_start, reason_code, resumption_date, resumption_quot
 def _(i: Inputs) -> DataFrame:
     feed, halts, episodes = work_dir(i.spark, "live-feed"), work_dir(i.spark, "live-halts"), work_dir(i.spark, "live-episodes")
     checkpoint = work_dir(i.spark, "live-cp")
+    i = i.spread()
     first = i.halt_obs.filter((F.hour("halt_start") < 16) & (F.col("copy_no") == 0))
     second = i.halt_obs.filter(F.hour("halt_start") >= 8)
     for poll in (first, second):

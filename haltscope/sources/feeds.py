@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from haltscope.functions.clean import blank_to_null
-from haltscope.functions.times import filename_date, parse_feed_date, parse_feed_datetime, parse_feed_time
+from haltscope.functions.times import filename_date, iso_date_text, iso_datetime, parse_feed_time
 from haltscope.schemas import FEED_FIELDS, FEED_ITEM, FEED_PREFIX
 from haltscope.sources.versions import files
 
@@ -44,6 +44,12 @@ def events_from_items(items: DataFrame, source_file: Column, source_type: Column
     def field(name: str) -> Column:
         return F.col(f"_{name}")
 
+    # An array function ends a stretch of generated code. In one stretch, cleaning and parsing
+    # are longer than what the JVM compiles, and every row is interpreted.
+    dates = F.transform(F.array(field("HaltDate"), field("ResumptionDate")), iso_date_text)
+    items = items.select("*", dates.alias("_dates"))
+    halt_day, resumption_day = F.col("_dates")[0], F.col("_dates")[1]
+
     halt_reason, resumption_reason = route_reason(field("ReasonCode"), source_type)
     trade, quote = field("ResumptionTradeTime"), field("ResumptionQuoteTime")
     return items.select(
@@ -54,12 +60,12 @@ def events_from_items(items: DataFrame, source_file: Column, source_type: Column
         resumption_reason.alias("resumption_reason_code"),
         field("HaltDate").alias("halt_date"),
         field("HaltTime").alias("halt_time"),
-        parse_feed_date(field("ResumptionDate")).alias("resumption_date"),
+        resumption_day.try_cast("date").alias("resumption_date"),
         parse_feed_time(quote).alias("resumption_quote_time"),
         parse_feed_time(trade).alias("resumption_trade_time"),
         field("PauseThresholdPrice").try_cast("decimal(18,6)").alias("pause_threshold_price"),
-        parse_feed_datetime(field("HaltDate"), field("HaltTime")).alias("halt_start"),
-        parse_feed_datetime(field("ResumptionDate"), F.coalesce(trade, quote)).alias("halt_end"),
+        iso_datetime(halt_day, field("HaltTime")).alias("halt_start"),
+        iso_datetime(resumption_day, F.coalesce(trade, quote)).alias("halt_end"),
         source_file.alias("source_file"),
         source_type.alias("source_type"),
     ).filter(F.col("symbol").isNotNull())
@@ -78,12 +84,15 @@ def items_of(records: DataFrame, tolerant: bool = True) -> DataFrame:
     its text in ``_corrupt_record`` and costs no other item. One that the end of
     the file cuts off counts as ill-formed, unless all its elements are closed.
     """
-    cut = F.filter(F.split("value", _ITEM_START), lambda x: x.startswith("<item"))
-    pieces = records.select("_file", F.posexplode(cut).alias("_at", "_text"), F.size(cut).alias("_n"))
-    closed = F.when(F.col("_at") == F.col("_n") - 1, F.concat("_text", F.lit(ITEM_END))).otherwise(F.col("_text"))
+    whole = F.concat(F.ltrim(F.col("value"), F.lit(" \t\r\n")), F.lit(ITEM_END))
+    # Nearly all records are one item; only the others are searched with a pattern.
+    one = whole.startswith("<item>") & (F.substring_index(whole, "<item", 2) == whole)
+    cut = F.when(one, F.array(whole)).otherwise(F.filter(F.split(whole, _ITEM_START), lambda x: x.startswith("<item")))
+    # The outer form, as Spark computes the array of the other one once more to skip empty ones.
+    pieces = records.select("_file", F.explode_outer(cut).alias("_text")).filter(F.col("_text").isNotNull())
     options = {"mode": "PERMISSIVE" if tolerant else "FAILFAST", "columnNameOfCorruptRecord": CORRUPT}
     # Parsed inside an array, so that no filter behind it brings the parser a second time.
-    item = F.from_xml(closed, f"{FEED_ITEM}, {CORRUPT} string", options)
+    item = F.from_xml(F.col("_text"), f"{FEED_ITEM}, {CORRUPT} string", options)
     return pieces.select(F.inline(F.array(item)), "_file")
 
 

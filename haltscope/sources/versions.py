@@ -92,7 +92,7 @@ def read_current(
             if known is None:
                 raise FileNotFoundError(f"no batch in {root}")
             return read_current(spark, root, before_batch, None, [known[0]]).filter(F.lit(False))
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
     paths = [f"{root}/{_folder(d, b)}" for d, b in sorted(wanted.items(), key=lambda x: (x[0] is not None, x[0] or date.min))]
     reader = spark.read.option("basePath", root)
     if schema is not None:
@@ -103,6 +103,11 @@ def read_current(
     return rows if schema is None else rows.select(*schema.names)
 
 
+def no_rows(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    """A table without rows that the optimizer knows to be empty: joins with it need no job."""
+    return spark.createDataFrame([], schema).limit(0)
+
+
 def day_list(rows: DataFrame) -> list[date | None]:
     """The days of ``rows``, on the driver: as many as the calendar has."""
     return [r.halt_day for r in rows.select("halt_day").distinct().collect()]

@@ -47,7 +47,7 @@ def with_venue(rows: DataFrame) -> DataFrame:
 def _tails(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     found = [b for b in versions.batches(spark, f"{root}/tails") if b < batch_id]
     if not found:
-        return spark.createDataFrame([], _TAIL)
+        return versions.no_rows(spark, _TAIL)
     return spark.read.schema(_TAIL).parquet(f"{root}/tails/batch={found[-1]}")
 
 
@@ -127,7 +127,7 @@ def episode_store_batch(root: str, order_cols: list[str], unique: bool = False)
         if held:
             touched = _reached(spark, fresh, read_obs(own_days), tails, batch_id)
         else:
-            touched = spark.createDataFrame([], _TOUCHED)
+            touched = versions.no_rows(spark, _TOUCHED)
 
         days = _days_between(touched) if held else []
         stored = read_obs(set(days) | set(own_days))
@@ -136,7 +136,7 @@ def episode_store_batch(root: str, order_cols: list[str], unique: bool = False)
         together = fresh
         if held:
             together = step(dedup_observations(mine.unionByName(fresh), order_cols), "together")
-        members = step(with_venue(episode_membership(together.drop("_venue"))), "members")
+        members = step(with_venue(episode_membership(together.drop("_venue"), keep=step)), "members")
 
         labelled = versions.with_day(members.drop("episode_market")).select(*others.columns)
         versions.write_batch(others.unionByName(labelled), f"{root}/observations", batch_id, {*days, *own_days} & {*held})

@@ -59,9 +59,10 @@ def ingest_batch(
     """
     merge_episodes = episode_store_batch(episodes_root, order_cols, unique=True)
 
-    def upsert_halts(rows: DataFrame, batch_id: int) -> None:
-        incoming = with_day(rows)
-        existing = read_current(rows.sparkSession, halts_root, batch_id, incoming.schema, day_list(incoming))
+    def upsert_halts(usable: DataFrame, batch_id: int) -> None:
+        days = day_list(with_day(usable))
+        incoming = with_day(canonical_halts(usable, order_cols))
+        existing = read_current(usable.sparkSession, halts_root, batch_id, incoming.schema, days)
         counts = write_counted(
             merge_halts(existing, incoming), lambda merged: write_batch(with_day(merged.drop("action")), halts_root, batch_id))
         if outcomes_root:
@@ -78,7 +79,7 @@ def ingest_batch(
             if rejects_root:
                 refused = snapshot.withColumn("missing", missing).filter(F.size("missing") > 0)
                 refused.write.mode("overwrite").parquet(f"{rejects_root}/batch={batch_id}")
-            upsert_halts(write_step(canonical_halts(usable, order_cols), halts_root, batch_id, "canonical"), batch_id)
+            upsert_halts(usable, batch_id)
             merge_episodes(snapshot, batch_id)
         finally:
             forget_steps(spark, halts_root, batch_id)

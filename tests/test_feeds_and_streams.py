@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -23,6 +24,30 @@ def feed(*items):
     return ('<?xml version="1.0"?><rss xmlns:ndaq="http://www.nasdaqtrader.com/"><channel>' + "".join(full) + "</channel></rss>")
 
 
+def test_the_jvm_compiles_the_scan_of_a_feed(spark, tmp_path):
+    (tmp_path / "tradehalts_2024-01-05.xml").write_text(feed({}))
+    scan = feeds.scan_halt_feed(spark, str(tmp_path))
+    plan = spark._jvm.PythonSQLUtils.explainString(scan._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000  # the limit of HotSpot: longer methods stay interpreted
+
+
+def test_items_that_share_a_record(spark):
+    whole = "<ndaq:IssueSymbol>{}</ndaq:IssueSymbol>".format
+    records = ["\n <item>" + whole("A"), "<rss><item>" + whole("B"), "<item >" + whole("C"), "<item>" + whole("D") + "<item>" + whole("E"),
+               "<itemx>" + whole("F"), " </channel></rss>", ""]
+    items = feeds.items_of(spark.createDataFrame([(r, "f") for r in records], "value string, _file string"))
+    good = items.filter(F.col(feeds.CORRUPT).isNull())
+    assert sorted(r["ndaq:IssueSymbol"] for r in good.collect()) == ["A", "B", "C", "E"]
+
+
+def test_a_table_without_rows_needs_no_join(spark):
+    empty = versions.no_rows(spark, "k long, v long")
+    joined = spark.range(3).withColumnRenamed("id", "k").join(empty, "k", "full_outer")
+    assert joined.count() == 3
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_feed_fields(spark, tmp_path):
     (tmp_path / "tradehalts_2024-01-05.xml").write_text(feed(
         {"day": "01/05/2024", "quote": "10:04:00", "trade": "10:05:00"}, {"symbol": "B", "tag": "Market", "market": "NYSE",
