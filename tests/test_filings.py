@@ -1,4 +1,5 @@
 from datetime import date
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from haltscope.functions import clean as C
 from haltscope.functions import text as X
 from haltscope.operators import filings as O
 from haltscope.operators import resolve as R
+from haltscope.plans import catalog
 from haltscope.sources import filings as S
 from haltscope.sources import listings as L
 from haltscope.sources import tables
@@ -57,6 +59,21 @@ def test_html_to_text(spark):
     assert [r[0] for r in df.select(X.html_to_text("h")).collect()] == ["A B C &lt; “D” é", None]
 
 
+def test_html_to_text_of_closed_references(spark):
+    """A name without its semicolon stays, as in the SQL of the pages; by default it is decoded, as HTML has it."""
+    pages = ["a = &quot p{", "&copy", "x &lt", "&quot;&copy;&amp;&lt;b&gt;&middot;", "a &amp", "&ampquot;", "&amp;quot;", "&amp;amp;", "&notit;", "&#8220;&#8220", "&am", None]
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(pages)], "k int, h string")
+    got = [r[0] for r in df.orderBy("k").select(X.html_to_text("h", closed=True)).collect()]
+    assert got == ["a = &quot p{", "&copy", "x &lt", '"©&<b>·', "a &", "&quot;", "&quot;", "&amp;", "&notit;", "“&#8220", "&am", None]
+    assert df.filter("k < 2").orderBy("k").select(X.html_to_text("h")).first()[0] == 'a = " p{'
+
+
+def test_html_to_text_query_leaves_cut_names(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "<p>token = &quot p{}</p>&quot;")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    row = catalog.runnable()["html_to_text"](spark, str(tmp_path)).first()
+    assert row.digest == md5(b'token = &quot p{} "').hexdigest()
+
+
 def test_candidates(spark):
     rows = spark.createDataFrame([("a", "Item 1.01"), ("b", "3.02,9.01"), ("c", "5.03"), ("d", None)], "id string, item_codes string")
     assert {r.id for r in O.candidate_filings(rows).collect()} == {"a", "b"}
