@@ -57,6 +57,63 @@ def test_rare_words_have_classes_of_their_own(spark):
     assert right > wrong + 1
 
 
+@pytest.fixture(scope="module")
+def two_tongues(spark):
+    """Texts of one of two vocabularies, alike in endings and so in classes."""
+    rng = random.Random(3)
+    words = {side: [f"{side}{k}{end}" for k in range(100) for end in ("xx", "yy", "zz")] for side in "ab"}
+    rows = [(i, " ".join(rng.choice(words["ab"[i % 2]]) for _ in range(40))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return docs, words, scoring.LanguageModel(docs.select("text"))
+
+
+def test_words_are_told_apart_within_a_class(spark, two_tongues):
+    """What stands before a word tells the words of one class apart, by vectors of their own."""
+    _, words, model = two_tongues
+    a, b = (words[side][::7] for side in "ab")
+    swapped = [x if k % 2 else y for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    probe = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(swapped))], "doc_id long, text string")
+    one, two, mixed = sorted(scoring.score_texts(probe, model).collect(), key=lambda r: r.doc_id)
+    assert min(one.score, two.score) > mixed.score + 3
+    assert min(one.score - one.base_score, two.score - two.base_score) > 3
+
+
+def test_every_training_token_trains_its_word(two_tongues):
+    """Each word with the least count or more has vectors, and all its occurrences took part; rarer ones are in the tails."""
+    docs, words, model = two_tongues
+    rows = model.words.collect()
+    assert len(rows) == 601 and sum(r.c for r in rows) == 3000 * 41
+    assert all(r.n == r.c and r.vectors for r in rows if r.c >= scoring.MIN_COUNT)
+    rare = scoring.LanguageModel(docs.limit(40).select("text")).words.collect()
+    assert any(r.c < scoring.MIN_COUNT for r in rare)
+    assert all((r.n, r.vectors) == (None, None) if r.c < scoring.MIN_COUNT else r.n == r.c for r in rare)
+
+
+def test_chances_of_all_words_sum_to_one(two_tongues):
+    """After two words: all words of training, the end, and each class's place for words never seen."""
+    _, _, model = two_tongues
+    rows = sorted(model.words.collect(), key=lambda r: r.kind)
+    assert rows[0].kind == 0 and rows[1].kind
+    unseen = scoring.CLASSES - 1
+    kinds = np.array([r.kind for r in rows] + list(range(1, scoring.CLASSES)), np.int16)
+    counts = np.array([r.c for r in rows] + [0] * unseen)
+    vectors = np.concatenate([scoring._rows_of(scoring.pa.array([bytes(r.vectors) for r in rows])), model.tails[1:]])
+    rng = np.random.default_rng(1)
+    for one, two in rng.integers(1, len(rows), (20, 2)):
+        texts = [[one, two, w, 0] for w in range(1, len(kinds))] + [[one, two, 0]]
+        chunk = scoring.Chunk(places=np.concatenate(texts).astype(np.int32), sizes=np.array([len(x) for x in texts], np.int32), kinds=kinds)
+        logs = scoring.token_scores(chunk, counts, vectors, (model.classes.table / np.log(10)).ravel(), model.vocabulary.mass, model.normaliser)
+        assert (10.0 ** logs[np.cumsum(chunk.sizes) - chunk.sizes + 2]).sum() == pytest.approx(1, abs=0.03)
+
+
+def test_vectors_survive_their_bytes():
+    rows = np.random.default_rng(2).normal(0, 1, (50, 2 * scoring.WIDTH)).astype(np.float32)
+    rows[7] = 0
+    again = scoring._rows_of(scoring._column_of(rows))
+    assert np.abs(again - rows).max() <= np.abs(rows).max() / 200 and not again[7].any()
+    assert scoring._rows_of(scoring._column_of(rows[:0])).shape == (0, 2 * scoring.WIDTH)
+
+
 def test_score_odd_rows(odd, nothing):
     rows = scoring.score_corpus(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
